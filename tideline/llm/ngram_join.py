@@ -52,7 +52,7 @@ _MANY = 0xFFFFFFFF
 #: a shingle of more of the remaining sets than this counts as frequent
 FREQUENT = 40
 #: groups of sets up to this size give all pairs across clusters as rows; larger ones go through blocks of this many
-SMALL, BLOCK = 24, 512
+SMALL, BLOCK = 24, 2048
 
 
 def shingle_sets(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +163,8 @@ def _frequent(packed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     return part, many[np.cumsum(new) - 1], new
 
 
-def _joined(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in table.column("entries").combine_chunks()])
+def _joined(table: pa.Table, column: str = "entries") -> np.ndarray:
+    return np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in table.column(column).combine_chunks()])
 
 
 def _read_half(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -204,7 +204,7 @@ def _read_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def _by_set(n_buckets: int):
-    """Entries of frequent shingles, dealt by their set."""
+    """Entries, dealt by their set."""
 
     def out(found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         found = found[(found & U(_MANY)) != U(_MANY)]
@@ -216,31 +216,46 @@ def _by_set(n_buckets: int):
 
 
 def _hot_entries(n_buckets: int, most: int):
+    """The entries of frequent shingles, and how many less frequent ones of each set other sets share."""
     out = _by_set(n_buckets)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        entries = _joined(table)
+        entries, none = _joined(table), np.zeros(0, dtype=np.uint64)
         if key[0].as_py() < 0:
-            rows = [(-1 - key[0].as_py(), entries)]
+            rows = [(-1 - key[0].as_py(), entries, none)]
         else:
             part, many, _ = _frequent(entries, most)
-            rows = list(out(part[many]))
+            rows = [(b, e, none) for b, e in out(part[many])]
+            _, shared, _ = _frequent(part[~many], 1)
+            sids, times = _count_by_set(part[~many][shared])
+            rows += [(b, none, e) for b, e in out((times.astype(np.uint64) << U(32)) | sids)]
         return pa.table(
-            {"bucket": pa.array([b for b, _ in rows], type=pa.int32()), "entries": pa.array([e.tobytes() for _, e in rows], type=pa.binary())}
+            {
+                "bucket": pa.array([b for b, _, _ in rows], type=pa.int32()),
+                "entries": pa.array([e.tobytes() for _, e, _ in rows], type=pa.binary()),
+                "shared": pa.array([e.tobytes() for _, _, e in rows], type=pa.binary()),
+            }
         )
 
     return run
 
 
 def _mark_hot(key: tuple, sets: pa.Table, hot: pa.Table) -> pa.Table:
-    """Add to each set a byte for each element: 1 if it is rare."""
+    """Add to each set a byte for each element, 1 if it is rare; sets that share too little with the others go."""
     entries = np.unique(_joined(hot)) if hot.num_rows else np.zeros(0, dtype=np.uint64)
-    masks = []
-    for sid, elements in zip(sets.column("sid").to_pylist(), sets.column("elements").combine_chunks()):
+    shared = _joined(hot, "shared") if hot.num_rows else entries
+    sids, at = np.unique(shared & U(_MANY), return_inverse=True)
+    warm = dict(zip(sids.tolist(), np.bincount(at, weights=(shared >> U(32)).astype(np.float64), minlength=len(sids)).tolist()))
+    keep, masks = [], []
+    for i, (sid, elements) in enumerate(zip(sets.column("sid").to_pylist(), sets.column("elements").combine_chunks())):
         h = np.frombuffer(elements.as_buffer(), dtype=np.uint64)
         wanted = (((h >> U(1)) & U(_MANY)) << U(32)) | U(sid & _MANY)
-        masks.append((~np.isin(wanted, entries, assume_unique=False)).astype(np.uint8).tobytes())
-    return pa.table({"sid": sets.column("sid"), "n": sets.column("n"), "elements": sets.column("elements"), "rare": pa.array(masks, type=pa.binary())})
+        rare = ~np.isin(wanted, entries)
+        if (~rare).sum() + warm.get(sid & _MANY, 0) >= len(h) - len(h) // 4:
+            keep.append(i)
+            masks.append(rare.astype(np.uint8).tobytes())
+    kept = sets.take(pa.array(keep, type=pa.int64()))
+    return pa.table({"sid": kept["sid"], "n": kept["n"], "elements": kept["elements"], "rare": pa.array(masks, type=pa.binary())})
 
 
 # --- step 3: signatures --------------------------------------------------------
@@ -489,7 +504,7 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     hot = (
         sets.mapInArrow(_spread(buckets, FREQUENT, _read_sets, _by_set(dealt)), "bucket int, entries binary")
         .groupBy("bucket")
-        .applyInArrow(_hot_entries(dealt, FREQUENT), "bucket int, entries binary")
+        .applyInArrow(_hot_entries(dealt, FREQUENT), "bucket int, entries binary, shared binary")
     )
     sets = checkpoint(
         sets.withColumn("bucket", F.pmod(F.col("sid").bitwiseAND(F.lit(_MANY)), F.lit(dealt)).cast("int"))
