@@ -59,7 +59,7 @@ _ALL_TITLES = "|".join(t for group in TITLES.values() for t in group)
 #: kind -> pattern (Java), in order of precedence
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -68,6 +68,13 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: what every entity contains; most texts lack it and are not searched further
+TRIGGER = rf"[@0-9]|AKIA|gh[pousr]_|sk-|{_ALL_TITLES}"
+
+
+def entities_in(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.when(text.rlike(TRIGGER), found).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(entity: Column) -> Column:
@@ -212,7 +219,7 @@ def surrogate(kind: Column, entity: Column, stream: Column) -> Column:
 def _entities(texts: DataFrame) -> DataFrame:
     """Distinct (kind, plain) with one spelling each."""
     found = (
-        texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).alias("entity"))
+        texts.select(F.explode(F.array_distinct(entities_in(F.col("text")))).alias("entity"))
         .groupBy("entity")
         .agg(F.lit(1).alias("one"))
         .select("entity", kind_of(F.col("entity")).alias("kind"))
@@ -269,7 +276,7 @@ def _replaced(text: Column, found: Column, attempts: Column | None, key: str) ->
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with its ``text`` freed of entities, and ``__entities``, how many were replaced."""
     text = F.col("text")
-    listed = docs.withColumn("__found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    listed = docs.withColumn("__found", entities_in(text))
     some = F.size("__found") > 0
     odd = checkpoint(exceptions(docs.select("text"), key).select(F.concat_ws(":", "kind", "plain").alias("name"), "attempt"))
     n_odd = odd.count()
