@@ -121,8 +121,16 @@ class Block:
         return mix(h[at]), at
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 2_000_000) -> Iterator[Block]:
-    """Cut a string column into blocks of whole texts of about ``most_bytes``; null counts as empty."""
+#: ASCII bytes that are no letters, as blanks
+_LETTERS = np.arange(256, dtype=np.uint8)
+_LETTERS[[b for b in range(128) if not chr(b).isalpha() and b != 10]] = 32
+
+
+def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 2_000_000, letters_only: bool = False) -> Iterator[Block]:
+    """Cut a string column into blocks of whole texts of about ``most_bytes``; null counts as empty.
+
+    With ``letters_only`` other ASCII characters than letters separate words.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -138,5 +146,6 @@ def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 2_000_000) -> I
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1
         to = min(max(to, at + 1), len(column))
-        yield Block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
+        part = data[offsets[at] : offsets[to]]
+        yield Block(_LETTERS[part] if letters_only else part, offsets[at : to + 1] - offsets[at], at)
         at = to
