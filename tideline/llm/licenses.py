@@ -1,7 +1,6 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line.  Its features are hashed word n-grams (one to three words, case
-folded); a multinomial logistic regression tells licence families from an unknown class.
+A paragraph is a line.  Its features are word n-grams (one to three words, case folded, by hash); a multinomial logistic regression tells licence families from an unknown class.
 It is trained here: on variants of the families' templates (words dropped, ends cut) and
 on lines of a bounded sample of the corpus as unknown, those that resemble a template
 left out.  Half of the training rows only calibrate: one temperature scales the scores
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.textops import Block, blocks
 
-DIMS = 1 << 16
+#: size of the table that tells most other words at once
+FILTER = 1 << 16
 
 # Short public licence notices by family.
 TEMPLATES = {
@@ -81,14 +81,14 @@ def _lines_of(block: Block) -> tuple[Block, np.ndarray]:
 
 
 def _grams(lines: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(line, bucket) of one to three words."""
+    """(line, 64-bit hash) of runs of one to three words."""
     words = lines.word_hashes(fold_case=True)
-    rows, cols = [], []
+    rows, hashes = [], []
     for n in (1, 2, 3):
         h, at = lines.windows(words, n)
         rows.append(lines.doc_of_word[at])
-        cols.append(((h + np.uint64(n)) % np.uint64(DIMS)).astype(np.int64))
-    return np.concatenate(rows), np.concatenate(cols)
+        hashes.append(h + np.uint64(n))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def _pairs(line: str) -> set[tuple[str, str]]:
@@ -130,21 +130,27 @@ class Classifier:
         texts += others
         y = np.array(y + [len(FAMILIES) - 1] * len(others))
         block = next(blocks(pa.array(texts), most_bytes=1 << 40))
-        rows, cols = _grams(block)
-        seen = np.unique(cols[y[rows] < len(FAMILIES) - 1])
-        self.known = np.zeros(DIMS, dtype=bool)
-        self.known[seen] = True
-        at, hit = np.searchsorted(seen, cols), self.known[cols]
-        rows, at = rows[hit], at[hit]
+        rows, hashes = _grams(block)
+        self.seen = np.unique(hashes[y[rows] < len(FAMILIES) - 1])
+        self.filter = np.zeros(FILTER, dtype=bool)
+        self.filter[self.seen % np.uint64(FILTER)] = True
+        hit, at = self.look_up(hashes)
+        rows = rows[hit]
         hold = rng.random(len(y)) < 0.5
         x_rows, x_cols = rows[~hold[rows]], at[~hold[rows]]
         index = np.cumsum(~hold) - 1
-        w = self._fit(index[x_rows], x_cols, len(seen), y[~hold])
-        self.weights = np.zeros((DIMS, len(FAMILIES)))
-        self.weights[seen], self.bias = w[:-1], w[-1]
-        scores = self.scores(rows, seen[at], len(y))[hold]
+        w = self._fit(index[x_rows], x_cols, len(self.seen), y[~hold])
+        self.weights, self.bias = w[:-1], w[-1]
+        scores = self.scores(rows, at, len(y))[hold]
         self.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: self._loss(scores / t, y[hold]))
 
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of n-grams of templates, their columns)."""
+        hit = np.flatnonzero(self.filter[hashes % np.uint64(FILTER)])
+        at = np.searchsorted(self.seen, hashes[hit])
+        same = self.seen[np.minimum(at, len(self.seen) - 1)] == hashes[hit]
+        return hit[same], at[same]
+
     @staticmethod
     def _softmax(s: np.ndarray) -> np.ndarray:
         e = np.exp(s - s.max(axis=1, keepdims=True))
@@ -178,14 +184,15 @@ class Classifier:
         """(line, probabilities) of the lines that have at least two words of some template."""
         words = block.word_hashes(fold_case=True)
         h, _ = block.windows(words, 1)
-        hit = self.known[((h + np.uint64(1)) % np.uint64(DIMS)).astype(np.int64)]
+        hit, _ = self.look_up(h + np.uint64(1))
         lines = np.flatnonzero(np.bincount(block.doc_of_word[hit], minlength=block.n) >= 2)
         if not len(lines):
             return lines, np.zeros((0, len(FAMILIES)))
         raw = b"\n".join(block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().strip(b"\n") for i in lines).decode("utf-8", "replace")
         some = next(blocks(pa.array(raw.split("\n")), most_bytes=1 << 40))
-        rows, cols = _grams(some)
-        return lines, self._softmax(self.scores(rows, cols, some.n) / self.temperature)
+        rows, hashes = _grams(some)
+        hit, cols = self.look_up(hashes)
+        return lines, self._softmax(self.scores(rows[hit], cols, some.n) / self.temperature)
 
 
 def _scan(model: Classifier, least: float, confirm: float):

@@ -10,8 +10,8 @@ neutral words, comparable to short ones.
 The fit uses at most ``sample`` labelled rows, in the order of a hash of their ids; every
 document is scored by one pass over its whole text.
 
-Edge cases: a null or empty text has no words and gets the chain's base rate; without
-labels of both classes a category predicts its share; rows that repeat are scored each;
+Edge cases: a null or empty text has no words and gets the chain's base rate; a
+category without positive labels is never predicted; rows that repeat are scored each;
 labels of unknown ids are ignored; an empty table gives an empty result.
 """
 
@@ -70,6 +70,10 @@ class Model:
     """One category: kept words, their weights, weights of earlier log-odds, bias."""
 
     def __init__(self, rows, cols, earlier, y, least_chi2: float = 12.0) -> None:
+        if not y.any():  # nothing to learn from: never predicted
+            self.words, self.weights = np.zeros(0, dtype=np.int64), np.zeros(0)
+            self.rest = np.append(np.zeros(earlier.shape[1]), -20.0)
+            return
         pos = np.bincount(cols[y[rows] == 1], minlength=DIMS)
         all_ = np.bincount(cols, minlength=DIMS)
         n, p = max(1, len(y)), y.sum()

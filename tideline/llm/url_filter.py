@@ -92,9 +92,9 @@ def templates(
             .withColumn("o_good", F.sum("good").over(alike) - F.col("good"))
             .withColumn("o_all", F.sum(labelled).over(alike) - labelled)
         )
-        pooled = (F.col("o_good") + F.col("good")) / (F.col("o_all") + labelled)
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("o_all") + 1 / labelled))
-        apart = F.abs(F.col("good") / labelled - F.col("o_good") / F.col("o_all"))
+        pooled = F.try_divide(F.col("o_good") + F.col("good"), F.col("o_all") + labelled)
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("o_all")) + F.try_divide(F.lit(1.0), labelled)))
+        apart = F.abs(F.try_divide(F.col("good"), labelled) - F.try_divide(F.col("o_good"), F.col("o_all")))
         enough = (labelled >= 10) & (F.col("o_all") >= 10)
         same = F.when(enough, apart <= z * spread).otherwise(False)
         renamed = (
@@ -132,7 +132,7 @@ def judge(
         .agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum(1 - F.col("good")), F.lit(0.0)).alias("bad"))
     )
     tree = templates(checkpoint(counts), **options)
-    overall = tree.agg((F.sum("good") / F.sum(F.col("good") + F.col("bad"))).alias("p")).first()["p"]
+    overall = tree.agg(F.try_divide(F.sum("good"), F.sum(F.col("good") + F.col("bad"))).alias("p")).first()["p"]
     overall = 1.0 if overall is None else overall
     purity = tree.groupBy("host", "template").agg(
         ((F.sum("good") + prior * overall) / (F.sum(F.col("good") + F.col("bad")) + prior)).alias("purity")
