@@ -94,3 +94,32 @@ def test_weakest_and_verbatim(spark):
 
 def test_vocabulary():
     assert keywords.vocabulary(["k8s", "Go"], {"Kubernetes": ["k8s"]}, {"cloud": {"implies": ["AWS"]}}) == ["AWS", "Go", "Kubernetes", "cloud"]
+
+
+def test_layout_rules(spark):
+    vk = spark.createDataFrame([("v1", "a"), ("v2", "a"), ("v3", "a"), ("v3", "b")], "variant_id string, term string")
+    kw = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "term string, weight double")
+    placed = spark.createDataFrame([(1, f"b{i}", f"v{i}", i != 2) for i in (1, 2, 3)], "layout_id int, bullet_id string, variant_id string, optional boolean")
+    none = spark.createDataFrame([], "term string, forced long")
+    assert [r.item for r in keywords.over_cap(placed, vk, kw, none).collect()] == ["a"]
+    bullets = spark.createDataFrame([("b1", True), ("b2", True), ("b3", True)], "bullet_id string, mandatory boolean")
+    variants = placed.select("bullet_id", "variant_id", F.lit("x").alias("voice"))
+    assert keywords.over_cap(placed, vk, kw, keywords.forced_terms(bullets, variants, vk, "x")).isEmpty()
+    losses = {r.bullet_id: r.loss for r in keywords.bullet_losses(placed, vk, kw).collect()}
+    assert losses == {"b1": 0.0, "b3": 0.5}
+    options = spark.createDataFrame([("b", "x", ["p", "q"], 1.0, 1), ("b", "x", ["q", "p"], 1.0, 2), ("b", "x", ["q"], 1.0, 3)], "bullet_id string, voice string, terms array<string>, height double, ord int")
+    assert sorted(r.ord for r in keywords.distinct_options(options).collect()) == [1, 3]
+
+
+def test_exports(spark, tmp_path):
+    from tideline.functions.textnorm import content_key
+    from tideline.operators.reports import html_escape
+    from tideline.sources import sinks
+
+    rows = spark.createDataFrame([("1", "confirmed"), ("2", "region")], "i string, g string")
+    sinks.write_board(rows, str(tmp_path / "board"))
+    assert spark.read.json(str(tmp_path / "board")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_board(rows.limit(0), str(tmp_path / "board"))
+    one = rows.select(html_escape(F.lit('<a&"')).alias("e"), (content_key(F.lit("1"), F.lit(" Acme"), F.lit("a  b")) == content_key(F.lit("1"), F.lit("acme"), F.lit(" a\nb"))).alias("k")).first()
+    assert one.e == "&lt;a&amp;&quot;" and one.k

@@ -69,6 +69,13 @@ def posting_id(company: Column, title: Column, day: Column) -> Column:
     return content_id(normalize_company(company), normalize_title(title), F.coalesce(day, F.lit("")))
 
 
+def content_key(version: Column, company: Column, text: Column, n: int = 16) -> Column:
+    """Key under which a document's result is kept: version, company and text without regard to white space."""
+    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    parts = (version, F.lower(F.trim(F.coalesce(company, F.lit("")))), squeezed)
+    return F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, n)
+
+
 def url_key(url: Column, rules) -> Column:
     """The first rule (pattern, template) whose pattern is found gives the key; groups are lower-cased."""
     tries = []

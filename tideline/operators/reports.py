@@ -57,9 +57,11 @@ def backlog(rows: DataFrame, seen: DataFrame, cutoff: dt.date, order: dict[str,
     rank = F.lit(len(order))
     for name, at in order.items():
         rank = F.when(F.col("tier") == name, F.lit(at)).otherwise(rank)
-    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
-    link = F.when(F.col("url").startswith("http"), F.concat(F.lit("[apply]("), F.col("url"), F.lit(")"))).otherwise(F.lit(""))
-    line = F.concat_ws(" | ", F.coalesce(F.col("date_posted").cast("string"), F.lit("unknown date")), cell("company"), cell("title"), link)
+    cell = lambda c, bar="/": F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit(bar))
+    link = F.when(F.col("url").startswith("http"), F.concat(F.lit("[apply]("), F.col("url"), F.lit(")"))).otherwise(F.lit("—"))
+    day = F.coalesce(F.date_format("date_posted", "MM/dd"), F.lit("?"))
+    inner = F.concat_ws(" | ", day, cell("company"), cell("title"), cell("location", " / "), link)
+    line = F.concat(F.lit("| "), inner, F.lit(" |"))
     kept = since(first, cutoff).join(seen.select("id").distinct(), "id", "left_semi")
     return kept.withColumn("rank", rank).withColumn("line", line).orderBy("rank", F.col("date_posted").desc(), "ord")
 
@@ -151,6 +153,16 @@ def messages(rows: DataFrame, cap: int, size: int = 10) -> DataFrame:
     return dealt.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "card"))), lambda x: x["card"]).alias("cards"))
 
 
+def html_escape(c: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def pretty_date(day: Column) -> Column:
+    return F.coalesce(F.date_format(day, "MMM d, yyyy"), F.lit("unknown date"))
+
+
 def compact_rows(rows: DataFrame) -> DataFrame:
     """The board's export: short names, the last part of the source, dates as text."""
     return rows.select(

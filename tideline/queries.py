@@ -252,7 +252,7 @@ def board_search(spark, d):
 
 @query(rf"""WITH {_BOARD_SQL}, s AS (SELECT id FROM b WHERE id % 2 = 0)
 SELECT id, CASE tier WHEN 'confirmed' THEN 0 WHEN 'region' THEN 1 ELSE 2 END AS rank,
-       date_posted || ' | ' || company || ' | ' || replace(title, '|', '\|') || ' | [apply](' || url || ')' AS line
+       '| ' || strftime(date_posted, '%m/%d') || ' | ' || company || ' | ' || replace(title, '|', '/') || ' | ' || location || ' | [apply](' || url || ') |' AS line
 FROM b JOIN s USING (id) WHERE date_posted >= DATE '2024-01-10'""")
 def backlog(spark, d):
     rows = _board(spark, d)
