@@ -137,8 +137,8 @@ def test_mix_meets_targets(docs):
     out = mixing.taken_words(docs).toPandas()
     by = out.groupby("source").agg(size=("size", "sum"), taken=("taken", "sum"), target=("target", "first"))
     assert (by.target <= 2 * by["size"] + 1e-6).all() and abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-3
-    smallest = out[out["size"] > 0].groupby("source")["size"].median()
-    assert ((by.taken - by.target).abs() <= smallest.reindex(by.index).fillna(0) + 1).all()
+    largest = out.groupby("source")["size"].max()  # what is left untaken is more than twice the gap
+    assert ((by.taken - by.target).abs() <= largest / 2 + 1).all()
     assert mixing.taken_words(docs).toPandas().sort_values("doc_id").taken.tolist() == out.sort_values("doc_id").taken.tolist()
 
 
@@ -209,7 +209,7 @@ def test_templates_reject_impure_branches(spark):
     labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(200)], "page_id long, good boolean")
     out = url_filter.judge(pages, labels, rules=()).toPandas().set_index("page_id")
     assert out.verdict[1] == "block" and out.verdict[0] == "allow" and out.template[1] == "bad/{n}".join(["/", ""])
-    assert set(out.template[1000:]) == {"/{*}/p"}
+    assert set(out.template[out.index >= 1000]) == {"/{*}/p"}
 
 
 def test_blocks_cut_at_rows():
