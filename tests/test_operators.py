@@ -123,3 +123,13 @@ def test_exports(spark, tmp_path):
         sinks.write_board(rows.limit(0), str(tmp_path / "board"))
     one = rows.select(html_escape(F.lit('<a&"')).alias("e"), (content_key(F.lit("1"), F.lit(" Acme"), F.lit("a  b")) == content_key(F.lit("1"), F.lit("acme"), F.lit(" a\nb"))).alias("k")).first()
     assert one.e == "&lt;a&amp;&quot;" and one.k
+
+
+def test_health_row(spark):
+    seen = spark.createDataFrame([("a", "2026-08-25 00:00:00", False), ("b", "2026-08-25 00:00:00", True), ("c", "no time", None)], "id string, first_seen string, seeded boolean")
+    runs = [(n, "check", "completed", "success" if n else "failure", dt.datetime(2026, 8, n + 1), 61_000.0) for n in range(6)]
+    df = spark.createDataFrame(runs, "run_id int, name string, status string, conclusion string, updated_at timestamp, duration_ms double")
+    row = pipelines.health(seen, df, NOW).first()
+    assert (row.tracked, row.new_week, row.runs, row.used, row.failures, row.status, row.max_s) == (3, 1, 6, 12, 0, "warn", 61)
+    groups = spark.createDataFrame([("a",)], "seed_group string")
+    assert not state.groups_changed(groups, groups) and state.groups_changed(groups.limit(0), groups)

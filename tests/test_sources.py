@@ -55,3 +55,12 @@ def test_empty_union(spark):
     empty = spark.createDataFrame([], "id string")
     with pytest.raises(ValueError):
         feeds.union_sources([empty, empty])
+
+
+def test_bad_source_is_skipped(spark, tmp_path):
+    (tmp_path / "l.json").write_text(json.dumps([{"company_name": "One", "title": "Ops", "locations": "Rome"}]))
+    configs = [{"name": "a", "adapter": "listings_json", "path": str(tmp_path / "l.json")}, {"name": "b", "adapter": "pipe_table", "path": str(tmp_path / "none.md")}]
+    rows, failed = feeds.read_sources(spark, configs, NOW)
+    assert [r.company for r in rows.collect()] == ["One"] and list(failed) == ["b"]
+    with pytest.raises(ValueError):
+        feeds.read_sources(spark, configs[1:], NOW)

@@ -86,6 +86,11 @@ def mark_groups(groups: DataFrame, fetched: DataFrame) -> DataFrame:
     return groups.union(fetched.select("seed_group")).distinct()
 
 
+def groups_changed(before: DataFrame, after: DataFrame) -> bool:
+    """Whether ``after`` has a group that ``before`` lacks."""
+    return not after.exceptAll(before).isEmpty()
+
+
 def prune(seen: DataFrame, days: int, now: dt.datetime) -> DataFrame:
     """Without records first seen more than ``days`` before ``now``; unreadable times stay, 0 keeps all."""
     if days <= 0:

@@ -71,6 +71,19 @@ def backlog(
     return reports.backlog(matched, seen, cutoff, order), reports.missing_count(seen, matched.select("id").distinct())
 
 
+def health(seen: DataFrame, runs: DataFrame, now: dt.datetime, **options) -> DataFrame:
+    """One row: records tracked, new in seven days (silent ones apart), and the health of the runs."""
+    at = F.col("first_seen").try_cast("timestamp")
+    recent = (at >= F.lit(now - dt.timedelta(days=7))) & ~F.coalesce("seeded", F.lit(False))
+    tracked = seen.agg(F.count("*").alias("tracked"), F.count_if(recent).alias("new_week"))
+    return tracked.join(reports.run_health(runs, **options), F.lit(True))  # one row each
+
+
+def coverage_report(boards: DataFrame, baseline: DataFrame, now: dt.datetime) -> DataFrame:
+    """Coverage of each board against the baseline, with the rows of the last seven days."""
+    return reports.coverage(boards, baseline, (now - dt.timedelta(days=7)).date())
+
+
 def title_screened_snapshot(rows: DataFrame, companies: DataFrame, options: dict) -> tuple[DataFrame, DataFrame]:
     """Rows of a tagged snapshot that pass, and the count of each drop reason."""
     found = screens.screen_tagged(

@@ -212,6 +212,37 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
 
 
+def _boards_adapter(spark: SparkSession, config: dict, now: dt.datetime, src_ord: int) -> DataFrame:
+    return boards(spark, config["path"], config["registry"], now, src_ord)
+
+
+#: adapter name -> (spark, config, now, src_ord) -> postings; further adapters are added here
+ADAPTERS = {
+    "listings_json": lambda spark, c, now, n: listings_json(spark, c["path"], c["name"], now, n),
+    "pipe_table": lambda spark, c, now, n: pipe_table(spark, c["path"], c["name"], now, n),
+    "boards": _boards_adapter,
+}
+
+
+def read_sources(spark: SparkSession, configs: list[dict], now: dt.datetime) -> tuple[DataFrame, dict[str, str]]:
+    """All sources that can be read, in config order, and what was wrong with the others.
+
+    A source is tried by planning it and reading one row, so that one bad file or schema
+    does not stop the others; all of them failing, or all being empty, does.
+    """
+    good, failed = [], {}
+    for n, config in enumerate(configs):
+        try:
+            rows = ADAPTERS[config["adapter"]](spark, config, now, n * 10)
+            rows.head(1)
+            good.append(rows)
+        except Exception as e:  # whatever one source throws is reported, and its rows are left out
+            failed[config["name"]] = f"{type(e).__name__}: {e}"[:500]
+    if not good:
+        raise ValueError(f"no source can be read: {failed}")
+    return union_sources(good), failed
+
+
 def union_sources(sources: list[DataFrame]) -> DataFrame:
     """All sources in order; arrival order is (src_ord, row_ord)."""
     out = sources[0]
