@@ -634,3 +634,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = lead.where("__again")
     kept = rows(lead.where("NOT __again"))
     return kept if repeated.isEmpty() else kept.union(rows(repeated).dropDuplicates(["doc_id", "text"]))
+
+
+#: The same rows in SQL (for DuckDB): all pairs that share a shingle, and the closure of their links.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * common >= 75 * (nx + ny - common)),
+reached AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT reached.doc_id, links.y FROM reached JOIN links ON links.x = reached.r)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(r) FROM reached WHERE reached.doc_id = sets.doc_id) AS component_id FROM sets
+"""

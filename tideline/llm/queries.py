@@ -82,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL,
     "op5_chat_format": chat.SQL,
+    "op8_ngram_join": ngram_join.SQL,
 }
