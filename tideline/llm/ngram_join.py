@@ -47,7 +47,7 @@ from tideline.llm.textops import Block, blocks, mix
 U = np.uint64
 WIDTH = 5
 #: entries that a task holds before it sends them on
-FLUSH = 1_000_000
+FLUSH = 400_000
 _MANY = 0xFFFFFFFF
 #: a shingle of more of the remaining sets than this counts as frequent
 FREQUENT = 40

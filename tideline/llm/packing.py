@@ -36,7 +36,7 @@ EPOCHS = 2
 GENERATIONS = 4
 POPULATION = 4
 #: words that a task remembers with their ids
-MEMORY = 300_000
+MEMORY = 100_000
 
 _tokenizers: dict = {}
 
@@ -68,13 +68,12 @@ class WordCache:
         cut = [self._words(t) for t in texts]
         missing = list(dict.fromkeys(w for words in cut for w in words if w not in self.known))
         fresh = dict(zip(missing, self._plain(missing)))
-        if len(self.known) + len(fresh) > MEMORY:
-            known = self.known | fresh
-            self.known = {} if len(fresh) > MEMORY else fresh
-        else:
+        if len(self.known) + len(fresh) <= MEMORY:
             self.known |= fresh
-            known = self.known
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+            fresh = {}
+        # Once full, it keeps what came first: frequent words come early.
+        known = self.known
+        return [b"".join([known.get(w) or fresh[w] for w in words]) for words in cut]
 
     @staticmethod
     def _words(text: str) -> list[str]:

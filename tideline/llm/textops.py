@@ -126,7 +126,7 @@ _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[b for b in range(128) if not chr(b).isalpha() and b != 10]] = 32
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 2_000_000, letters_only: bool = False) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, most_bytes: int = 500_000, letters_only: bool = False) -> Iterator[Block]:
     """Cut a string column into blocks of whole texts of about ``most_bytes``; null counts as empty.
 
     With ``letters_only`` other ASCII characters than letters separate words.
