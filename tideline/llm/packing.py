@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +69,9 @@ class WordCache:
         cut = [self._words(t) for t in texts]
         missing = list(dict.fromkeys(w for words in cut for w in words if w not in self.known))
         fresh = dict(zip(missing, self._plain(missing)))
-        if len(self.known) + len(fresh) <= MEMORY:
-            self.known |= fresh
-            fresh = {}
         # Once full, it keeps what came first: frequent words come early.
         known = self.known
+        known.update(islice(fresh.items(), max(0, MEMORY - len(known))))
         return [b"".join([known.get(w) or fresh[w] for w in words]) for words in cut]
 
     @staticmethod
