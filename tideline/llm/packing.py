@@ -18,9 +18,11 @@ tokenised whole, its pieces are rows.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,32 +63,47 @@ class WordCache:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         if self.ranks is not None:
-            return [np.array(self.ranks.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+            return [_little_endian(self.ranks.encode_ordinary(t)) for t in texts]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._words(t) for t in texts]
-        missing = list(dict.fromkeys(w for words in cut for w in words if w not in self.known))
-        fresh = dict(zip(missing, self._plain(missing)))
-        # Once full, it keeps what came first: frequent words come early.
+        cut = [_words(t) for t in texts]
+        # What is remembered are words with the blank before them; a text's first word has none.
+        heads = self._plain([words[0] for words in cut])
         known = self.known
-        known.update(islice(fresh.items(), max(0, MEMORY - len(known))))
-        return [b"".join([known.get(w) or fresh[w] for w in words]) for words in cut]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        words = text.split(" ")
-        words[1:] = [" " + w for w in words[1:]]
-        if any(map(_open_end, words[:-1])):
-            whole, held = [], ""
-            for w in words:
-                held += w
-                if not _open_end(w):
-                    whole.append(held)
-                    held = ""
-            words = [*whole, held] if held else whole
-        return [w for w in words if w]
+        missing = list(set().union(*(words[1:] for words in cut)).difference(known))
+        known.update(zip(missing, self._plain([" " + w for w in missing])))
+        out = [head + b"".join(map(known.__getitem__, words[1:])) for head, words in zip(heads, cut)]
+        # Once full, the memory keeps what came first: frequent words come early.
+        for w in missing[max(0, MEMORY - len(known) + len(missing)) :]:
+            del known[w]
+        return out
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
+#: white space before a blank: the text must not be cut there
+_SPACE_BEFORE_BLANK = re.compile(r"\s ")
+
+
+def _words(text: str) -> list[str]:
+    """``text`` cut before blanks; the blanks at the cuts are left out."""
+    words = text.split(" ")
+    if text[:1] != " " and not _SPACE_BEFORE_BLANK.search(text):
+        return words
+    whole = [words[0]]
+    for w in words[1:]:
+        if not whole[-1] or whole[-1][-1].isspace():
+            whole[-1] += " " + w
+        else:
+            whole.append(w)
+    return whole
 
 
 def _ranks(path: str):
@@ -101,11 +118,6 @@ def _ranks(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _open_end(word: str) -> bool:
-    """Whether a cut after this word could change its tokens."""
-    return not word or word[-1].isspace()
-
-
 def _pieces(path: str, ranks_path: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
