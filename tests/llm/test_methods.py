@@ -235,3 +235,20 @@ def test_oracle(spark, name):
     names = [x[0] for x in found.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
+
+
+def test_toxicity_finds_most_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    found = toxicity.classify(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 4 > 0"))
+    held = found.join(labels.where("doc_id % 4 = 0").withColumnRenamed("toxic", "wanted"), "doc_id")
+    assert held.where("toxic AND wanted = 0").count() == 0
+    assert held.where("toxic AND wanted = 1").count() >= 0.8 * held.where("wanted = 1").count()
+
+
+def test_toxicity_cut_and_folds():
+    y = np.array([1.0, 1, 1, 0, 0, 0])
+    assert toxicity.best_cut(np.array([3.0, 1, -1, -3, -4, -5]), y) == (1.0, -2.0)
+    assert toxicity.best_cut(np.zeros(6), y) == (0.0, 0.0)  # odds that tell nothing
+    fold = toxicity.folds([[1, 2], [3, 4], [1, 9], [], [8, 4], []])
+    assert fold[0] == fold[2] and fold[1] == fold[4] and len(set(fold.tolist())) == 4

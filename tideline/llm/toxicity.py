@@ -5,7 +5,10 @@ hashed words (present or not) and on the log-odds of the categories before it; w
 training, those come from models of other folds (out-of-fold), so that a later model
 learns from predictions as good as it will get.  Words enter a model only if they differ
 between the classes of the sample (chi-squared), which keeps long texts, with their many
-neutral words, comparable to short ones.
+neutral words, comparable to short ones.  The ridge of a category, and the log-odds from
+which a text counts as one of it, are those of the best F1 over the out-of-fold log-odds
+among the cuts of enough precision; near copies lie in one fold, so that no model is
+judged on a text it knows.
 
 The fit uses at most ``sample`` labelled rows, in the order of a hash of their ids; every
 document is scored by one pass over its whole text.
@@ -24,10 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.textops import Block, blocks
+from tideline.llm.textops import Block, blocks, mix
 
 DIMS = 1 << 18
 FOLDS = 5
+#: ridges to choose from, the strongest first
+RIDGES = (2e-3, 1e-4)
+#: a cut whose out-of-fold precision is lower is not taken
+LEAST_PRECISION = 0.95
+#: least shingle hashes by which near copies among the labelled texts are found
+MARKS = 8
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -37,21 +46,71 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return pairs // DIMS, pairs % DIMS
 
 
+def _marks(block: Block) -> list[np.ndarray]:
+    """For each text, the least hash of its five-word shingles under each of ``MARKS`` orders; none for shorter texts."""
+    h, at = block.windows(block.word_hashes(fold_case=True), 5)
+    doc = block.doc_of_word[at]
+    some, begins = np.unique(doc, return_index=True)
+    found = [np.zeros(0, dtype=np.int64)] * block.n
+    if len(some):
+        least = [np.minimum.reduceat(mix(h ^ mix(np.array([k + 1], dtype=np.uint64))), begins) for k in range(MARKS)]
+        for i, row in zip(some, np.stack(least, axis=1).view(np.int64)):
+            found[i] = row
+    return found
+
+
+def folds(marks: Sequence[Sequence[int]]) -> np.ndarray:
+    """The fold of each text: texts tied by equal marks share one, and the largest groups are dealt first."""
+    parent = list(range(len(marks)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    owner: dict[tuple[int, int], int] = {}
+    for i, row in enumerate(marks):
+        for mark in enumerate(row):
+            parent[find(i)] = find(owner.setdefault(mark, i))
+    _, group, size = np.unique([find(i) for i in range(len(marks))], return_inverse=True, return_counts=True)
+    fold, held = np.zeros(len(size), dtype=np.int64), np.zeros(FOLDS)
+    for j in np.argsort(-size, kind="stable"):
+        fold[j] = held.argmin()
+        held[fold[j]] += size[j]
+    return fold[group]
+
+
+def best_cut(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(F1, log-odds) of the cut of the best F1 among those of enough precision; (0, 0) if there is none."""
+    order = np.argsort(-odds, kind="stable")
+    odds, hits = odds[order], np.cumsum(y[order])
+    last = np.flatnonzero(np.append(odds[1:] != odds[:-1], False))  # a cut lies between different odds
+    n = last + 1
+    last = last[hits[last] >= LEAST_PRECISION * n]
+    if not len(last) or not hits[last].any():
+        return 0.0, 0.0
+    f1 = 2 * hits[last] / (last + 1 + y.sum())
+    at = last[f1.argmax()]
+    return float(f1.max()), float((odds[at] + odds[at + 1]) / 2)
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column(0), letters_only=True):
             doc, bucket = features(block)
             cut = np.searchsorted(doc, np.arange(block.n + 1))
             lists = [bucket[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
+            marks = _marks(block)
             rest = [batch.column(i).slice(block.first, block.n) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, type=pa.list_(pa.int32())), *rest], ["words", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, type=pa.list_(pa.int32())), pa.array(marks, type=pa.list_(pa.int64())), *rest], ["words", "marks", *batch.schema.names[1:]])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, dense: np.ndarray, y: np.ndarray, ridge: float = 2e-3, steps: int = 150):
+def _logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, dense: np.ndarray, y: np.ndarray, ridge: float, steps: int = 150):
     """Weights (of columns, of dense features, bias) by Adam on the ridge-penalised log-loss."""
     w = np.zeros(n_cols + dense.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -67,9 +126,10 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, dense: np.ndarray
 
 
 class Model:
-    """One category: kept words, their weights, weights of earlier log-odds, bias."""
+    """One category: kept words, their weights, weights of earlier log-odds, bias, and the log-odds ``cut``."""
 
-    def __init__(self, rows, cols, earlier, y, least_chi2: float = 12.0) -> None:
+    def __init__(self, rows, cols, earlier, y, ridge: float, cut: float = 0.0, least_chi2: float = 12.0) -> None:
+        self.cut = cut
         if not y.any():  # nothing to learn from: never predicted
             self.words, self.weights = np.zeros(0, dtype=np.int64), np.zeros(0)
             self.rest = np.append(np.zeros(earlier.shape[1]), -20.0)
@@ -83,7 +143,7 @@ class Model:
         self.words = np.flatnonzero((np.nan_to_num(chi2) >= least_chi2) & (all_ >= 3))
         at = np.searchsorted(self.words, cols)
         hit = (at < len(self.words)) & (self.words[np.minimum(at, max(0, len(self.words) - 1))] == cols) if len(self.words) else np.zeros(len(cols), bool)
-        w = _logistic(rows[hit], at[hit], len(self.words), earlier, y)
+        w = _logistic(rows[hit], at[hit], len(self.words), earlier, y, ridge)
         self.weights, self.rest = w[: len(self.words)], w[len(self.words) :]
 
     def odds(self, rows: np.ndarray, cols: np.ndarray, earlier: np.ndarray) -> np.ndarray:
@@ -97,19 +157,25 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.n
     """The models of a chain over the columns of ``labels`` (nan: no label)."""
     chain, earlier = [], np.zeros((len(labels), 0))
     for c in range(labels.shape[1]):
-        y, out = labels[:, c], np.zeros(len(labels))
+        y = labels[:, c]
 
-        def part(mask: np.ndarray, columns=earlier, y=y) -> Model:
+        def part(mask: np.ndarray, ridge: float, cut: float = 0.0, columns=earlier, y=y) -> Model:
             index = np.cumsum(mask) - 1
             use = mask[rows]
-            return Model(index[rows[use]], cols[use], columns[mask], y[mask])
+            return Model(index[rows[use]], cols[use], columns[mask], y[mask], ridge, cut)
 
         known = ~np.isnan(y)
-        for f in range(FOLDS):
-            model = part(known & (fold != f))
-            held = model.odds(rows, cols, earlier)
-            out[fold == f] = held[fold == f]
-        chain.append(part(known))
+        best = None
+        for ridge in RIDGES:
+            out = np.zeros(len(labels))
+            for f in range(FOLDS):
+                held = part(known & (fold != f), ridge).odds(rows, cols, earlier)
+                out[fold == f] = held[fold == f]
+            f1, cut = best_cut(out[known], y[known])
+            if best is None or f1 > best[0]:
+                best = f1, cut, ridge, out
+        _, cut, ridge, out = best
+        chain.append(part(known, ridge, cut))
         earlier = np.hstack([earlier, out[:, None]])
     return chain
 
@@ -137,13 +203,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
     order = F.xxhash64("doc_id", F.lit(seed))
     chosen = known.withColumn("o", order).orderBy("o", "doc_id").limit(sample)
     rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "o", *categories)  # at most ``sample`` rows
-    schema = "words array<int>, o long, " + ", ".join(f"{c} double" for c in categories)
+    schema = "words array<int>, marks array<long>, o long, " + ", ".join(f"{c} double" for c in categories)
     found = rows.mapInArrow(_feature_rows, schema).orderBy("o").limit(sample).toArrow()
     words = found.column("words").combine_chunks()
     lengths = np.array([len(x) for x in words], dtype=np.int64)
     cols = words.flatten().to_numpy().astype(np.int64)
     y = np.stack([found.column(c).to_numpy() for c in categories], axis=1) if len(lengths) else np.zeros((0, len(categories)))
-    return fit_chain(np.repeat(np.arange(len(lengths)), lengths), cols, y.astype(float), np.arange(len(lengths)) % FOLDS)
+    return fit_chain(np.repeat(np.arange(len(lengths)), lengths), cols, y.astype(float), folds(found.column("marks").to_pylist()))
 
 
 def score(docs: DataFrame, chain: list[Model], categories: Sequence[str]) -> DataFrame:
@@ -153,9 +219,14 @@ def score(docs: DataFrame, chain: list[Model], categories: Sequence[str]) -> Dat
     return docs.select("doc_id", "text").mapInArrow(_score(chain, categories), schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic: a chain from low quality to toxicity."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and toxic: a chain from low quality to toxicity.
+
+    Without a ``threshold`` of the probability, the cut that was chosen while training holds.
+    """
     categories = ("low_quality", "toxic")
     named = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("toxic"))
-    found = score(docs, train(docs, named, categories), categories)
+    chain = train(docs, named, categories)
+    found = score(docs, chain, categories)
+    threshold = float(_sigmoid(np.array(chain[-1].cut))) if threshold is None else threshold
     return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"))
