@@ -252,3 +252,19 @@ def test_toxicity_cut_and_folds():
     assert toxicity.best_cut(np.zeros(6), y) == (0.0, 0.0)  # odds that tell nothing
     fold = toxicity.folds([[1, 2], [3, 4], [1, 9], [], [8, 4], []])
     assert fold[0] == fold[2] and fold[1] == fold[4] and len(set(fold.tolist())) == 4
+
+
+def test_join_across_shares(spark):
+    """Members of one signature in two shares are compared, though only the tie of the first one to its share's head is split."""
+    rng = np.random.default_rng(3)
+    m, head1, member1, head2, member2 = range(1, 6)
+    sets = {i: rng.integers(0, 1 << 63, 40, dtype=np.uint64) for i in (m, head1, member1, head2)}
+    sets[member2] = np.append(sets[member1][:38], rng.integers(0, 1 << 63, 2, dtype=np.uint64))
+    rows = [(i, 40, bytearray(np.sort(h).tobytes()), bytearray(b"\1" * 40)) for i, h in sets.items()]
+    held = spark.createDataFrame(rows, "sid long, n long, elements binary, rare binary")
+    tied = [(m, head1), (head1, member1), (m, head2), (head2, member2)]
+    ties = spark.createDataFrame([(*t, True) for t in tied], "src long, dst long, alike boolean")
+    labels = spark.createDataFrame([(i, m) for i in (m, head1, head2, member2)], "node long, label long")
+    first = spark.createDataFrame([(*t, 0, t[1] != member1) for t in tied], "src long, dst long, apart long, linked boolean")
+    found = ngram_join._across(ties, first, labels, held)
+    assert [tuple(r) for r in found.collect()] == [(member1, member2)]

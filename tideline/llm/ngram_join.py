@@ -552,13 +552,13 @@ def _across(ties: DataFrame, first: DataFrame, labels: DataFrame, sets: DataFram
         .join(label_of("dst"), "dst", "left")
         .select("src", "dst", (F.coalesce("src_label", "src") != F.coalesce("dst_label", "dst")).alias("split"))
     )
-    # A member is two ties from the least set of its signature at most.
-    involved = checkpoint(named.where("split").select(F.explode(F.array("src", "dst")).alias("sid")).distinct())
+    # A tie leads from the least set of a signature to the heads of shares, or from a head to a member.
+    # So the upper end of a split tie is the least set or one below it, and all members are two ties below that one at most.
+    involved = checkpoint(named.where("split").select(F.col("src").alias("sid")).distinct())
     if involved.isEmpty():
         return None
-    both = ties.select("src", "dst").union(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    for _ in range(2):
-        near = both.join(involved.withColumnRenamed("sid", "src"), "src", "left_semi").select(F.col("dst").alias("sid"))
+    for at, to in (("dst", "src"), ("src", "dst"), ("src", "dst")):
+        near = ties.join(involved.withColumnRenamed("sid", at), at, "left_semi").select(F.col(to).alias("sid"))
         involved = checkpoint(near.union(involved).distinct())
     labelled = checkpoint(
         sets.join(involved, "sid", "left_semi")
