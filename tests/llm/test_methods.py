@@ -268,3 +268,19 @@ def test_join_across_shares(spark):
     first = spark.createDataFrame([(*t, 0, t[1] != member1) for t in tied], "src long, dst long, apart long, linked boolean")
     found = ngram_join._across(ties, first, labels, held)
     assert [tuple(r) for r in found.collect()] == [(member1, member2)]
+
+
+def test_pii_widens_until_all_are_apart(spark, monkeypatch):
+    # more names than surrogates of the first attempts
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] for k, v in pii.SYLLABLES.items()})
+    names = [f"Mr {c}alor{d}on" for c in "BCDFGHKLMNPQRST" for d in "bdfg"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+    got = [r.text for r in pii.surrogates(df).collect()]
+    assert len(set(got)) == len(names) and not set(got) & set(names)
+
+
+def test_pii_says_when_a_form_is_too_narrow(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda kind, entity, stream, attempt=None: F.lit("Mr Same"))
+    monkeypatch.setattr(pii, "STALLED", 2)
+    with pytest.raises(RuntimeError, match="too few values"):
+        pii.exceptions(spark.createDataFrame([("Mr Balor",), ("Mr Calor",)], "text string"))

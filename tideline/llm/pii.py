@@ -15,7 +15,9 @@ surrogate:
 A surrogate is a function of key, kind and canonical form alone, so it is made beside the
 text without a join.  The exceptions are collisions: where two entities would get one
 surrogate, or an entity the canonical form of another one, all but the least take the
-next attempt; the exceptions are found by aggregation over distinct entities, are few,
+next attempt, until none is left (an error if their form has too few values for them);
+from the second on, attempts draw from a wider space where the form allows one (more
+syllables for names and addresses, any first number for IP addresses).  The exceptions are found by aggregation over distinct entities, are few,
 and reach the texts as a broadcast if counted to be few and by a join on the document
 otherwise.
 
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import checkpoint
 
 KEY = "tideline-demo-key"
-ATTEMPTS = 6
+#: rounds without fewer collisions after which a form counts as too narrow for its entities
+STALLED = 50
 BROADCAST_EXCEPTIONS = 20_000
 
 # Titles and first names by gender and script, syllables of family names.
@@ -165,7 +168,15 @@ def _pick(words: tuple[str, ...], b: Column) -> Column:
     return F.element_at(F.array(*(F.lit(w) for w in words)), F.pmod(b, F.lit(len(words))) + 1)
 
 
-def _name(entity: Column, stream: Column) -> Column:
+def _more_syllables(script: str, stream: Column, attempt: Column | None) -> list[Column]:
+    """One more syllable for each attempt after the first, as a list of one column; nothing without attempts."""
+    if attempt is None:
+        return []
+    drawn = F.array(*(_pick(SYLLABLES[script], _byte(stream, F.lit(i * 2))) for i in range(12, 24)))
+    return [F.when(attempt > 1, F.array_join(F.slice(drawn, F.lit(1), F.least(attempt - 1, F.lit(12))), "")).otherwise("")]
+
+
+def _name(entity: Column, stream: Column, attempt: Column | None) -> Column:
     """Title, then a first name of the gender if there were two names, then a family name."""
     parts = F.split(entity, " ")
     title = F.get(parts, F.lit(0))
@@ -177,16 +188,16 @@ def _name(entity: Column, stream: Column) -> Column:
 
     def of(script: str) -> Column:
         first = F.when(female, _pick(FIRST[script]["f"], b[0])).otherwise(_pick(FIRST[script]["m"], b[0]))
-        family = F.initcap(F.concat(*(_pick(SYLLABLES[script], x) for x in b[1:5])))
+        family = F.initcap(F.concat(*(_pick(SYLLABLES[script], x) for x in b[1:5]), *_more_syllables(script, stream, attempt)))
         family = F.when(F.element_at(parts, -1).rlike(r"^\p{Lu}{2,}$"), F.upper(family)).otherwise(family)
         return F.concat_ws(" ", title, F.when(F.size(parts) > 2, first), family)
 
     return F.when(cyrillic, of("cyrillic")).otherwise(of("latin"))
 
 
-def _email(entity: Column, stream: Column) -> Column:
+def _email(entity: Column, stream: Column, attempt: Column | None) -> Column:
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    word = F.concat(*(_pick(SYLLABLES["latin"], _byte(stream, F.lit(i * 2))) for i in range(3)))
+    word = F.concat(*(_pick(SYLLABLES["latin"], _byte(stream, F.lit(i * 2))) for i in range(3)), *_more_syllables("latin", stream, attempt))
     word = F.when(local == F.upper(local), F.upper(word)).when(local.rlike("^[A-Z]"), F.initcap(word)).otherwise(word)
     digits = F.regexp_replace(F.substr(_stream(F.lit("digits"), stream, F.lit(0), ""), F.lit(1), F.lit(120)), "[a-f]", "")
     wanted = F.length(local) - F.length(F.regexp_replace(local, r"\d", ""))
@@ -200,18 +211,19 @@ def _email(entity: Column, stream: Column) -> Column:
     return F.concat(fresh, F.lit("@"), F.array_join(hosts, "."))
 
 
-def surrogate(kind: Column, entity: Column, stream: Column) -> Column:
-    """The replacement of an entity in its own spelling, by the keyed stream of its canonical form."""
-    ip = F.concat_ws(".", F.lit("10"), *((_byte(stream, F.lit(i * 2)) % 254 + 1).cast("string") for i in range(3)))
+def surrogate(kind: Column, entity: Column, stream: Column, attempt: Column | None = None) -> Column:
+    """The replacement of an entity in its own spelling, by the keyed stream of its canonical form (no ``attempt``: the first)."""
+    net = F.lit("10") if attempt is None else F.when(attempt > 1, (_byte(stream, F.lit(6)) % 254 + 1).cast("string")).otherwise("10")
+    ip = F.concat_ws(".", net, *((_byte(stream, F.lit(i * 2)) % 254 + 1).cast("string") for i in range(3)))
     prefix = F.length(F.regexp_extract(entity, r"^\+(\d{1,3})(?=[ .(-])", 1))
     return (
-        F.when(kind == "email", _email(entity, stream))
+        F.when(kind == "email", _email(entity, stream, attempt))
         .when(kind == "ip", ip)
         .when(kind == "phone", _redraw_digits(entity, stream, prefix))
         .when(kind == "ssn", _redraw_digits(entity, stream, F.lit(0)))
         .when(kind == "card", _card(entity, stream))
         .when(kind == "iban", _redraw(F.regexp_replace(entity, " ", ""), stream, keep=2))
-        .when(kind == "name", _name(entity, stream))
+        .when(kind == "name", _name(entity, stream, attempt))
         .otherwise(F.concat(F.regexp_extract(entity, "^(AKIA|gh[pousr]_|sk-)?", 0), _redraw(F.regexp_replace(entity, "^(AKIA|gh[pousr]_|sk-)", ""), stream)))
     )
 
@@ -231,10 +243,11 @@ def exceptions(texts: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, plain, attempt) of the entities whose first surrogate collides."""
     entities = checkpoint(_entities(texts))
     state = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ATTEMPTS):
+    least, stalled = None, 0
+    while True:
         made = (
             state.withColumn("stream", _stream(F.col("kind"), F.col("plain"), F.col("attempt"), key))
-            .withColumn("made", surrogate(F.col("kind"), F.col("entity"), F.col("stream")))
+            .withColumn("made", surrogate(F.col("kind"), F.col("entity"), F.col("stream"), F.col("attempt")))
             .withColumn("made", canonical(F.col("kind"), F.col("made")))
         )
         # All but one of the entities that share a surrogate, and those that would become another real entity.
@@ -242,8 +255,12 @@ def exceptions(texts: DataFrame, key: str = KEY) -> DataFrame:
         clash = made.join(twice, ["kind", "made"]).where("plain <> first").select("kind", "plain")
         real = made.join(entities.select("kind", F.col("plain").alias("made")), ["kind", "made"], "left_semi").select("kind", "plain")
         again = checkpoint(clash.union(real).distinct())
-        if again.isEmpty():
+        left = again.count()
+        if left == 0:
             break
+        least, stalled = (left, 0) if least is None or left < least else (least, stalled + 1)
+        if stalled >= STALLED:
+            raise RuntimeError(f"{left} entities have no surrogate of their own: their form has too few values")
         state = checkpoint(
             state.join(again.withColumn("more", F.lit(1)), ["kind", "plain"], "left").select(
                 "kind", "plain", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")
@@ -265,10 +282,12 @@ def _replaced(text: Column, found: Column, attempts: Column | None, key: str) ->
 
     kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
     plains = F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("plain")))
+    tries = F.transform(plains, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["plain"].alias("plain"), attempt(x).alias("attempt")))
     streams = F.transform(
-        plains, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _stream(x["kind"], x["plain"], attempt(x), key).alias("stream"))
+        tries,
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), _stream(x["kind"], x["plain"], x["attempt"], key).alias("stream")),
     )
-    fresh = F.transform(streams, lambda x: surrogate(x["kind"], x["e"], x["stream"]))
+    fresh = F.transform(streams, lambda x: surrogate(x["kind"], x["e"], x["stream"], None if attempts is None else x["attempt"]))
     # What stands between the entities and the replacements, in turn.
     return F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), fresh, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
