@@ -284,3 +284,18 @@ def test_pii_says_when_a_form_is_too_narrow(spark, monkeypatch):
     monkeypatch.setattr(pii, "STALLED", 2)
     with pytest.raises(RuntimeError, match="too few values"):
         pii.exceptions(spark.createDataFrame([("Mr Balor",), ("Mr Calor",)], "text string"))
+
+
+def test_pii_capitals_and_account_numbers(spark):
+    secret = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "NL91 ABNA 0417 1643 00", "CH93 0076 2011 6238 5295 7", "NO93 8601 1117 947", "BE68 5390 0754 7034"]
+    texts = [f"A {secret} B", f"a {secret.lower()} b", *(f"PAY {i} IS DUE" for i in ibans), *(f"PAY {i.replace(' ', '')} IS DUE" for i in ibans)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.surrogates(df).orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert all(r.n_entities == 1 for r in rows)
+    upper, lower = got[0].split()[1], got[1].split()[1]
+    assert upper != secret and upper.lower() == lower and upper == upper.upper() and set(upper) <= set("0123456789ABCDEF") and len(upper) == 40
+    for iban, apart, whole in zip(ibans, got[2 : 2 + len(ibans)], got[2 + len(ibans) :]):
+        made = whole.removeprefix("PAY ").removesuffix(" IS DUE")
+        assert apart == whole and made != iban.replace(" ", "") and made[:2] == iban[:2] and len(made) == len(iban.replace(" ", ""))

@@ -1,7 +1,7 @@
 """PII surrogates: detected entities get keyed replacements of the same kind and form.
 
 One alternation of patterns finds entities, left to right.  Each has a canonical form, so
-that spellings of one entity (case of an address, grouping of a number) get one
+that spellings of one entity (case of an address or a hexadecimal secret, grouping of a number) get one
 surrogate:
 
 * digits of phone numbers, cards and the like are drawn anew, grouping and prefix stay;
@@ -57,13 +57,30 @@ SYLLABLES = {
     "cyrillic": ("бар", "вол", "гор", "дан", "зим", "кар", "лад", "мир", "нов", "пав", "род", "сав", "тим", "фад", "хар", "ян"),
 }
 
+#: length of an account number (IBAN) -> its countries
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS",
+    23: "AE|GI|IL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "PT", 26: "IS|TR", 27: "FR|GR|IT|MC|SM", 28: "AL|AZ|CY|DO|GT|HU|LB|PL",
+    29: "BR|QA|UA", 30: "JO|KW|MU", 31: "MT",
+}
+
+
+def _iban() -> str:
+    """Account numbers of known countries by their length, others as groups of four and a rest (with a digit if it stands apart)."""
+    known = "|".join(
+        rf"(?:{names})\d{{2}}(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}" + (f"(?: ?[0-9A-Z]{{{n % 4}}})" if n % 4 else "") for n, names in IBAN_LENGTHS.items()
+    )
+    other = r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?:[0-9A-Z]{1,3}| (?=[A-Z]*[0-9])[0-9A-Z]{1,3})?"
+    return rf"(?<![0-9A-Za-z])(?:{known}|{other})(?![0-9A-Za-z])"
+
+
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _ALL_TITLES = "|".join(t for group in TITLES.values() for t in group)
 #: kind -> pattern (Java), in order of precedence
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
+    "iban": _iban(),
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
@@ -95,6 +112,7 @@ def canonical(kind: Column, entity: Column) -> Column:
         F.when(kind.isin("email", "ip"), F.lower(entity))
         .when(kind.isin("phone", "ssn", "card"), F.regexp_replace(entity, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
+        .when((kind == "secret") & entity.rlike("^[0-9A-F]{32,64}$"), F.lower(entity))
         .when(kind == "name", F.lower(F.regexp_replace(entity, rf"^(?:{_ALL_TITLES})\.? ", "")))
         .otherwise(entity)
     )
@@ -111,7 +129,7 @@ def _byte(stream: Column, i: Column) -> Column:
 
 def _redraw(entity: Column, stream: Column, keep: int = 0) -> Column:
     """Each digit and ASCII letter drawn anew in its class (hexadecimal letters stay so), the rest and the first ``keep`` as they are."""
-    hexadecimal = entity.rlike("^[0-9a-f]+$")
+    hexadecimal = entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     letters = F.when(hexadecimal, F.lit("abcdef")).otherwise(F.lit("abcdefghijklmnopqrstuvwxyz"))
     chars = F.split(entity, "")
 
