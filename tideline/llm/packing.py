@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpoint
+from tideline.llm.common import checkpoint, shuffle_partitions
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -430,8 +430,9 @@ def pack_blocks(pieces: DataFrame, blocks: int, capacity: int, islands: int, epo
         .select("*", F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), F.lit(0).alias("epoch"), F.lit(None).cast("array<binary>").alias("elites"))
     )
     for epoch in range(epochs):
-        # One row is one island of one block, a task-sized piece of work.
-        state = state.repartition(F.col("block"), F.col("island")).mapInArrow(_island(capacity, generations, population), _STATE)
+        # One row is one island of one block, seconds of work: few bytes, so the number of tasks is given.
+        tasks = min(blocks * islands, 4 * shuffle_partitions(pieces.sparkSession))
+        state = state.repartition(tasks, "block", "island").mapInArrow(_island(capacity, generations, population), _STATE)
         state = checkpoint(state)
         if epoch + 1 < epochs:
             moved = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("bin_of").alias("guest"))
