@@ -31,7 +31,7 @@ def test_counts_by_brute_force(docs):
         triples = collections.Counter(zip(words, words[1:], words[2:]))
         covered = {k + j for k in range(len(words) - 2) if triples[words[k], words[k + 1], words[k + 2]] > 1 for j in range(3)}
         lines = [x for x in text.split("\n") if x.encode().split()]
-        wanted = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+        wanted = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines))
         assert wanted == tuple(got[i][c] for c in quality_rules.COUNTS)
 
 
@@ -40,6 +40,63 @@ def test_quality_keeps_good_documents(spark, docs):
     assert found.where("quality = 1 AND NOT kept").count() == 0 and found.where("quality = 0 AND kept").count() == 0
 
 
+def fences_by_brute_force(rows, rules=quality_rules.RULES, prior=quality_rules.PRIOR):
+    """(lang, source) -> ratio -> (lower, upper), from sorted values instead of sketches."""
+    size = lambda r: {
+        "symbols_per_word": (r.n_symbols + 0.5) / (r.n_words + 1), "dup_line_share": (r.n_dup_lines + 0.5) / (r.n_lines + 1),
+        "repeat_word_share": (r.n_repeat_words + 0.5) / (r.n_words + 1), "chars_per_word": (r.word_chars + 0.5) / (r.n_words + 1),
+    }
+    values = [(r.lang, r.source, size(r)) for r in rows if r.n_words >= 50 and 2 * r.n_repeat_words <= r.n_words]
+
+    def q(chosen, rule):
+        x = sorted(np.log(v[rule]) for *_, v in chosen)
+        return len(x), np.array([x[max(0, -(-int(round(p * len(x) * 1e6)) // 10**6) - 1)] for p in (0.2, 0.5, 0.8)]) if x else np.zeros(3)
+
+    out = {}
+    for lang, source in {(r.lang, r.source) for r in rows}:
+        for rule, (times, _) in rules.items():
+            _, drawn = q(values, rule)
+            for chosen in ([v for v in values if v[0] == lang], [v for v in values if v[:2] == (lang, source)]):
+                n, own = q(chosen, rule)
+                drawn = (n * own + prior * drawn) / (n + prior)
+            low, mid, high = drawn
+            apart = times * max(high - mid, mid - low, 0.02) * (1 + 20 / len(values))
+            out.setdefault((lang, source), {})[rule] = np.exp(low - apart), np.exp(high + apart)
+    return out, size
+
+
+def test_fences_and_verdicts_by_brute_force(spark, docs):
+    """Fences from sketches are those of sorted values to within the buckets; verdicts follow, and no partitioning changes them."""
+    mixed = docs.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source"))
+    rows = quality_rules.judge(mixed).orderBy("doc_id").collect()
+    again = quality_rules.judge(mixed.repartition(7)).orderBy("doc_id").collect()
+    assert rows == again
+    fences, ratios = fences_by_brute_force(rows)
+    got = {(r.lang, r.source): r for r in quality_rules.thresholds(quality_rules.text_counts(mixed)).collect()}
+    assert set(got) == set(fences) and len({r.t_chars_per_word for r in got.values()}) > len(got) // 2
+    slack = 1.01**12  # both quantiles are off by a bucket at most, and their distance counts several times
+    for key, of in fences.items():
+        for rule, (low, high) in of.items():
+            assert high / slack <= got[key][f"t_{rule}"] <= high * slack
+            if rule == "chars_per_word":
+                assert low / slack <= got[key][f"l_{rule}"] <= low * slack
+    for r in rows:
+        limits, own = got[r.lang, r.source], ratios(r)
+        wanted = [k for k, (_, count) in quality_rules.RULES.items() if (own[k] > limits[f"t_{k}"] and (not count or r[count] > 2)) or (not count and own[k] < limits[f"l_{k}"])]
+        assert r.failed == wanted and r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) and r.kept == (not r.base_failed and not wanted)
+
+
+def test_sketch_quantiles(spark):
+    rng = np.random.default_rng(2)
+    x = np.exp(rng.normal(0, 2, 5000))
+    values = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(x)], "value double, g int").repartition(6)
+    two = quality_rules.sketches(values, ["g"])
+    got = quality_rules.quantiles(quality_rules.merged(two.withColumn("one", F.lit(1)), ["one"]), ["one"], {"a": 0.01, "b": 0.5, "c": 0.99}).first()
+    for name, q in (("a", 0.01), ("b", 0.5), ("c", 0.99)):
+        assert abs(np.exp(got[name]) / np.quantile(x, q, method="inverted_cdf") - 1) <= 0.006
+    assert got["size"] == 5000
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
