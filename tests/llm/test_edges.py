@@ -44,9 +44,16 @@ def test_ngram_join(spark, docs):
 
 
 def test_pii(spark, docs):
-    out = pii.replace_entities(docs)
-    assert out.columns == [*docs.columns, "__entities"] and out.count() == len(ROWS)
-    assert out.where("text IS NULL").count() == 1 and pii.surrogates(docs.limit(0)).count() == 0
+    docs = docs.withColumn("__found", F.lit("mine")).withColumn("__row", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = pii.replace_entities(docs, "k")
+    assert out.columns == [*docs.columns, "__entities"] and out.count() == len(ROWS) and out.where("__found <> 'mine'").isEmpty()
+    assert out.where("text IS NULL").count() == 1 and pii.surrogates(docs.limit(0), "k").count() == 0
+    long = LONG + " mail a@b.cc " + LONG
+    ends = spark.createDataFrame([(1, "a@b.cc"), (2, "a@b.cc\n+1 555 123 4567"), (3, long), (3, long)], "doc_id int, text string")
+    got = pii.surrogates(ends, "k").orderBy("doc_id", "text").collect()
+    assert [r.n_entities for r in got] == [1, 2, 1, 1] and got[2] == got[3] and len(got[2].text) > len(LONG) * 2 and "a@b.cc" not in got[2].text
+    with pytest.raises(ValueError):
+        pii.surrogates(docs, "")
 
 
 def test_mixing(spark, docs):
