@@ -8,30 +8,38 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm import mixing, ngram_join, packing, pii, quality_rules
 from tideline.llm.common import ensure_checkpoint_dir
+from tideline.llm.queries import pii_key
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep: those without words go, and outliers of their language and source."""
     return quality_rules.apply_rules(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest doc_id."""
     return ngram_join.keep_one(docs)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(docs).drop("__entities")
+    """All documents, their texts with surrogates for personal data and secrets."""
+    return pii.replace_entities(docs, pii_key(spark)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document with their training sequence and their place in it."""
+    import public_tokenizers
+
     path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(docs, path, ranks_path=ranks)
 
