@@ -84,6 +84,39 @@ def test_section_keywords(spark):
     assert {t for d, t in got if d == 2} == {t for d, t in got if d == 1} - {"REST"}
 
 
+def test_hits_by_brute_force(spark):
+    """Weights of whole tables against regular expressions, one for each spelling, over the same clauses."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS doc", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "Go, go C++ and .NET; ASP.NET is not c++. Machine learning and learning - machine learning"), (-2, "R R#; R+ r"), (-3, None)], "doc long, text string"))
+    vocab, aliases = ["the", "Go", "C++", ".NET", "ML", "R", "und der", "trash", "de"], {"ML": ["machine learning", "learning"], "the": ["The"]}
+    by_doc = {}
+    for r in keywords.clauses(docs).collect():
+        by_doc.setdefault(r.doc, []).append((r.clause, r.weight))
+    wanted = {}
+    for doc, parts in by_doc.items():
+        for term in vocab:
+            places = {}
+            for s in {term, *aliases.get(term, ())}:
+                rx = re.compile(r"(?<![\w+#])" + re.escape(s) + r"(?![\w+#])", 0 if s.isupper() or len(s) <= 3 else re.I)
+                places |= {(i, m.start()): w for i, (c, w) in enumerate(parts) for m in rx.finditer(c)}
+            down = sorted((w for w in places.values() if w > 0), reverse=True)
+            if down:
+                wanted[doc, term] = round(down[0] + 0.3 * sum(down[1:2]) + 0.1 * sum(down[2:]), 3)
+    found = keywords.ranked(keywords.section_keywords(docs, vocab, aliases, {})).collect()
+    got = {(r.doc, r.term): r.weight for r in found}
+    assert set(got) == set(wanted) and all(abs(got[k] - v) < 0.0011 for k, v in wanted.items())
+    assert got[-1, "ML"] == 1.12 and got[-1, "C++"] == 0.91 and got[-1, ".NET"] == 0.7 and got[-1, "Go"] == 0.7 and got[-2, "R"] == 0.7
+    own = [r for r in found if r.doc == -1]
+    assert [r.term for r in sorted(own, key=lambda r: r.rank)] == [r.term for r in sorted(own, key=lambda r: (-r.weight, r.term))]
+    table = spark.createDataFrame([("ml", "ML"), ("Machine Learning", "ML")], "spelling string, canonical string")
+    terms = spark.createDataFrame([("machine learning",), ("Go",)], "term string")
+    assert sorted(r.term for r in keywords.canonical_terms(terms, table).collect()) == ["Go", "ML"]
+    covered = spark.createDataFrame([(1, "b", 1.0, "exact", ["v"]), (1, "a", 2.0, "inferred", []), (1, "c", 3.0, "exact", ["v", "w"])], "doc int, term string, weight double, source string, variants array<string>")
+    assert [r.line for r in keywords.explain(covered).orderBy("n").collect()] == ["covered  3.000  c  v, w", "covered  1.000  b  v", "uncovered  2.000  a  inferred"]
+
+
 def test_weakest_and_verbatim(spark):
     losses = spark.createDataFrame([(0.5, "v2", "b"), (0.2, "v9", "c"), (0.2, "v1", "a")], "loss double, variant_id string, bullet_id string")
     assert keywords.weakest_filler(losses).first()[0] == "a"

@@ -64,3 +64,54 @@ def test_bad_source_is_skipped(spark, tmp_path):
     assert [r.company for r in rows.collect()] == ["One"] and list(failed) == ["b"]
     with pytest.raises(ValueError):
         feeds.read_sources(spark, configs[1:], NOW)
+
+
+def test_listings_fail_loudly_and_skip_what_is_no_object(spark, tmp_path):
+    good = json.dumps([1, {"company_name": "One", "title": "Ops", "locations": ["A", "B"]}, "x", None, {"company_name": "Two", "title": "Dev"}])
+    for name, text in (("mixed", good), ("cut", good[:-20]), ("object", "{}")):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert [r.company for r in feeds.listings_json(spark, str(tmp_path / "mixed.json"), "s", NOW).orderBy("row_ord").collect()] == ["One", "Two"]
+    configs = [{"name": n, "adapter": "listings_json", "path": str(tmp_path / f"{n}.json")} for n in ("cut", "mixed", "object")]
+    rows, failed = feeds.read_sources(spark, configs, NOW)
+    assert sorted(failed) == ["cut", "object"] and rows.count() == 2
+
+
+def test_pipe_table_rows(spark, tmp_path):
+    text = (
+        "| Company Size | Company | Role | Location |\n|---|---|---|---|\n| | Dev | Rome | x |\n"
+        "|  Acme Company | Role Lead | Oslo | Bergen |\n| short | row |\n| A | Co | Boss | |\n"
+    )
+    (tmp_path / "t.md").write_text(text)
+    (tmp_path / "none.md").write_text("no table\n")
+    got = feeds.pipe_table(spark, str(tmp_path / "t.md"), "t", NOW).orderBy("row_ord").collect()
+    # the first cell that names a company is the company's, though another one says nothing else
+    assert [(r.company, r.title, r.location) for r in got] == [("Acme Company", "Oslo", "Bergen"), ("A", "Boss", "Unspecified")]
+    with pytest.raises(ValueError):
+        feeds.pipe_table(spark, str(tmp_path / "none.md"), "t", NOW)
+    (tmp_path / "unclear.md").write_text("| Company Role | Company |\n| a | b |\n")
+    with pytest.raises(Exception, match="no columns"):
+        feeds.pipe_table(spark, str(tmp_path / "unclear.md"), "t", NOW).collect()
+
+
+def test_unreadable_boards_are_quarantined(spark, tmp_path):
+    job = {"id": "a5", "title": "Dev", "absolute_url": "https://g/5"}
+    for board, text in (("good", json.dumps({"jobs": [job]})), ("empty", '{"jobs": []}'), ("cut", json.dumps({"jobs": [job]})[:-9]), ("other", '{"error": 1}')):
+        d = tmp_path / "greenhouse" / f"board={board}"
+        d.mkdir(parents=True)
+        (d / "jobs.json").write_text(text)
+    registry = spark.createDataFrame([(b, b) for b in ("good", "empty", "cut", "other")], "board string, name string")
+    jobs = feeds.greenhouse_jobs(spark, str(tmp_path / "greenhouse"), registry, NOW)
+    assert sorted(r.board for r in feeds.quarantined_boards(jobs).collect()) == ["cut", "other"]
+    assert [r.ats_key for r in feeds._board(jobs, "greenhouse", 0).collect()] == ["gh:a5"]
+
+
+def test_cards_and_cutoffs(spark):
+    from tideline.operators import reports, state
+
+    rows = spark.createDataFrame([("Acme", "Dev", "Rome", "listed", "https://x", dt.date(2026, 8, 5), "a/b"), ("B", None, None, "region", "x", None, "c")], "company string, title string, location string, tier string, url string, date_posted date, source_repo string")
+    a, b = [r.card for r in reports.cards(rows).orderBy("company").collect()]
+    assert a.title == "Acme — Dev" and a.description == "📍 Rome · 🛂 Known H-1B employer · _listed · a/b_" and a.footer == "Posted 08/05/2026" and a.url == "https://x"
+    assert b.title == "B — Unknown role" and b.description == "📍 Unspecified · _region · c_" and b.footer == "Posted unknown date" and b.url is None
+    assert reports.parse_cutoff("07312026") == reports.parse_cutoff("2026-07-31") == dt.date(2026, 7, 31)
+    assert reports.since(rows, "08052026").count() == 1 and reports.since(rows, "2026-08-06").count() == 0
+    assert state.migrated_groups(spark, ["a", "b"], True).count() == 2 and state.migrated_groups(spark, ["a"], False).isEmpty()

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 # Expansions of more than one character that feeds contain.
 EXPANSIONS = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "™": "TM", "№": "No", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "ĳ": "ij", "Ĳ": "IJ"}
-#: legal forms of which one is dropped from the end of a company's name
+# Legal forms, of which one is dropped from the end of a company's name.
 LEGAL_FORMS = r"inc|llc|ltd|limited|corp|corporation|co|gmbh|s\.?p\.?a|s\.?r\.?l|b\.?v|a\.?g|plc|sa|nv"
 
 
+#: most texts hold nothing of this kind and skip the long tables
+BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
 @lru_cache(maxsize=1)
 def _plain_letters() -> tuple[str, str]:
     """Characters and what compatibility decomposition without marks leaves of them, if one character or none."""
@@ -33,7 +37,7 @@ def strip_diacritics(c: Column) -> Column:
     plain = F.translate(c, frm, to)
     for one, more in EXPANSIONS.items():
         plain = F.replace(plain, F.lit(one), F.lit(more))
-    return plain
+    return F.when(c.rlike(BEYOND_ASCII), plain).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:

@@ -20,8 +20,19 @@ def max_age(rows: DataFrame, days: int, today: dt.date, date: str = "date_posted
     return rows if not days else rows.where(F.col(date).isNull() | (F.col(date) >= F.lit(today - dt.timedelta(days=days))))
 
 
-def since(rows: DataFrame, cutoff: dt.date, date: str = "date_posted") -> DataFrame:
+def parse_cutoff(text: str) -> dt.date:
+    """A day written MMDDYYYY or YYYY-MM-DD."""
+    for form in ("%m%d%Y", "%Y-%m-%d"):
+        try:
+            return dt.datetime.strptime(text, form).date()
+        except ValueError:
+            pass
+    raise ValueError(f"{text!r} is no day; write MMDDYYYY or YYYY-MM-DD")
+
+
+def since(rows: DataFrame, cutoff: dt.date | str, date: str = "date_posted") -> DataFrame:
     """Rows of ``cutoff`` and later; undated rows go."""
+    cutoff = parse_cutoff(cutoff) if isinstance(cutoff, str) else cutoff
     return rows.where(F.col(date) >= F.lit(cutoff))
 
 
@@ -127,19 +138,32 @@ def run_health(runs: DataFrame, own=("check", "weekly"), main: str = "check", sa
     )
 
 
-# Colours of notification cards by tier.
-COLOURS = {"confirmed": 0x2ECC71, "region": 0x3498DB, "listed": 0x1ABC9C, "unverified": 0xE67E22}
+# Colours and remarks of notification cards by tier.
+COLOURS = {"confirmed": 0x2ECC71, "region": 0x3B88C3, "listed": 0x2ECC71, "unverified": 0xE67E22}
+REMARKS = {"confirmed": "\U0001f6c2 Sponsors internationals", "listed": "\U0001f6c2 Known H-1B employer", "unverified": "\u26a0\ufe0f Sponsorship unconfirmed"}
+
+
+def _by_tier(of: dict, otherwise: Column) -> Column:
+    found = otherwise
+    for name, value in of.items():
+        found = F.when(F.col("tier") == name, F.lit(value)).otherwise(found)
+    return found
 
 
 def cards(rows: DataFrame) -> DataFrame:
-    """``card``: title of 256 characters at most, description of 4,096, colour, and the address if it is one."""
-    colour = F.lit(COLOURS["unverified"])
-    for name, value in COLOURS.items():
-        colour = F.when(F.col("tier") == name, F.lit(value)).otherwise(colour)
+    """``card``: title of 256 characters at most, description of 4,096, colour, footer, and the address if it is one.
+
+    The description has the place, what is known of sponsorship, and the reason (``match_reason``
+    or the tier) with the source; empty parts are left out.
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    reason = F.concat(F.lit("_"), F.concat_ws(" \u00b7 ", F.coalesce(has("match_reason"), F.col("tier")), has("source_repo")), F.lit("_"))
+    place = F.concat(F.lit("\U0001f4cd "), F.coalesce(F.col("location"), F.lit("Unspecified")))
     card = F.struct(
-        F.substring(F.concat_ws(" - ", "company", "title"), 1, 256).alias("title"),
-        F.substring(F.concat_ws("\n", "location", "tier"), 1, 4096).alias("description"),
-        colour.alias("colour"),
+        F.substring(F.concat_ws(" \u2014 ", F.coalesce("company", F.lit("Unknown")), F.coalesce("title", F.lit("Unknown role"))), 1, 256).alias("title"),
+        F.substring(F.concat_ws(" \u00b7 ", place, _by_tier(REMARKS, F.lit(None).cast("string")), reason), 1, 4096).alias("description"),
+        _by_tier(COLOURS, F.lit(COLOURS["unverified"])).alias("colour"),
+        F.concat(F.lit("Posted "), pretty_date(F.col("date_posted"))).alias("footer"),
         F.when(F.col("url").startswith("http"), F.col("url")).alias("url"),
     )
     return rows.withColumn("card", card)
@@ -160,7 +184,7 @@ def html_escape(c: Column) -> Column:
 
 
 def pretty_date(day: Column) -> Column:
-    return F.coalesce(F.date_format(day, "MMM d, yyyy"), F.lit("unknown date"))
+    return F.coalesce(F.date_format(day, "MM/dd/yyyy"), F.lit("unknown date"))
 
 
 def compact_rows(rows: DataFrame) -> DataFrame:

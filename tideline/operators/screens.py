@@ -16,6 +16,10 @@ US_CODES = (
 US_PATTERN = rf"(?i),\s*({'|'.join(US_CODES)})\b|\b(united states|u\.?s\.?a?\.?)\b"
 
 
+# Words of senior titles, where a feed's options name none.
+SENIOR_TERMS = ("senior", "sr", "staff", "principal", "lead", "head", "director", "vp", "chief", "architect", "manager")
+
+
 def drop_reason(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule that holds, or null for rows to keep."""
     reason = F.lit(None).cast("string")
@@ -31,13 +35,14 @@ def screen(df: DataFrame, column: str, require=None, forbid=None) -> DataFrame:
 
 
 def screen_tagged(
-    df: DataFrame, dim: DataFrame, roles=(), exclude_seniority=(), senior_terms=(), require=()
+    df: DataFrame, dim: DataFrame, roles=(), exclude_seniority=(), senior_terms=None, require=()
 ) -> DataFrame:
     """Tagged postings with ``drop_reason``: company, role, seniority, senior_title, title or off_topic.
 
     ``df`` has company_slug, title, seniority and role_family; ``dim`` has slug and name.
-    Missing tags are kept; the senior terms apply to rows without a seniority tag only.
+    Missing tags are kept; the senior terms (none given: :data:`SENIOR_TERMS`) apply to rows without a seniority tag only.
     """
+    senior_terms = SENIOR_TERMS if senior_terms is None else senior_terms
     title = normalize_text(F.col("title"))
     joined = df.join(dim.select(F.col("slug").alias("company_slug"), F.col("name").alias("company")), "company_slug", "left")
     rules = [

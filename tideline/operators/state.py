@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's ``spark.checkpoint.dir`` and cut its lineage; without a shared folder that is an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -34,13 +37,13 @@ def greedy_dedupe(df: DataFrame, id_col: str, key_col: str, order: str) -> DataF
     marked = firsts(df)
     alone = (F.col("__ni") == 1) & (F.coalesce("__nk", F.lit(1)) == 1)
     kept = [marked.where(alone).select(columns)]
-    open_rows = _checkpoint(marked.where(~alone).select(columns))
+    open_rows = checkpoint(marked.where(~alone).select(columns))
     while not open_rows.isEmpty():
         first = (F.col("__fi") == F.col(order)) & (F.coalesce("__fk", F.col(order)) == F.col(order))
-        now = _checkpoint(firsts(open_rows).where(first).select(columns))
+        now = checkpoint(firsts(open_rows).where(first).select(columns))
         kept.append(now)
         ids, keys = now.select(F.col(id_col).alias("__i")), now.select(F.col(key_col).alias("__k")).where("__k IS NOT NULL")
-        open_rows = _checkpoint(
+        open_rows = checkpoint(
             open_rows.join(ids, F.col(id_col).eqNullSafe(F.col("__i")), "left_anti").join(keys, F.col(key_col) == F.col("__k"), "left_anti")
         )
     out = kept[0]
@@ -86,6 +89,11 @@ def mark_groups(groups: DataFrame, fetched: DataFrame) -> DataFrame:
     return groups.union(fetched.select("seed_group")).distinct()
 
 
+def migrated_groups(spark, configured, bootstrapped: bool) -> DataFrame:
+    """Groups of a state that recorded none: all configured sources count as fetched before if the state was ever filled."""
+    return spark.createDataFrame([(name,) for name in configured] if bootstrapped else [], "seed_group string")
+
+
 def groups_changed(before: DataFrame, after: DataFrame) -> bool:
     """Whether ``after`` has a group that ``before`` lacks."""
     return not after.exceptAll(before).isEmpty()

@@ -42,11 +42,11 @@ def incremental_run(
     """
     if postings.isEmpty():
         raise ValueError("no postings; saved state stays as it is")
-    new = state._checkpoint(state.split_new(_matched(postings, region, settings, names), seen, groups))
+    new = state.checkpoint(state.split_new(_matched(postings, region, settings, names), seen, groups))
     loud, silent = new.where("NOT silent"), new.where("silent")
     cap = settings.get("max_notifications_per_run", 0)
     sent = state.newest(loud, cap, by=settings.get("order", "chronological")) if cap else loud
-    sent = state._checkpoint(sent)
+    sent = state.checkpoint(sent)
     deferred = loud.join(sent.select("id"), "id", "left_anti")
     recorded = state.upsert_seen(state.upsert_seen(seen, sent, now), silent, now, True)
     return RunResult(sent, deferred, silent, state.prune(recorded, settings.get("prune_days", 0), now), state.mark_groups(groups, postings))
@@ -87,7 +87,7 @@ def coverage_report(boards: DataFrame, baseline: DataFrame, now: dt.datetime) ->
 def title_screened_snapshot(rows: DataFrame, companies: DataFrame, options: dict) -> tuple[DataFrame, DataFrame]:
     """Rows of a tagged snapshot that pass, and the count of each drop reason."""
     found = screens.screen_tagged(
-        rows, companies, options.get("roles", ()), options.get("exclude_seniority", ()), options.get("senior_terms", ()), options.get("require", ())
+        rows, companies, options.get("roles", ()), options.get("exclude_seniority", ()), options.get("senior_terms"), options.get("require", ())
     )
     return found.where("drop_reason IS NULL").drop("drop_reason"), found.groupBy("drop_reason").agg(F.count("*").alias("n"))
 

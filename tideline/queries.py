@@ -208,22 +208,22 @@ def state_prune_new_flag(spark, d):
 
 
 def _board(spark, d):
-    """Labelled documents as board rows."""
+    """All documents as board rows; their titles are whole texts."""
     labels = table(spark, d, "labels")
     flag = F.when((F.col("quality") == 1) & (F.col("doc_id") % 4 == 0), "yes").otherwise("unknown")
     outcome = F.when(F.col("toxic") == 1, "listed").when(F.col("doc_id") % 3 == 0, "region").otherwise("unverified")
     day = F.when(F.col("doc_id") % 7 > 0, F.date_sub(F.lit(NOW.date()), (F.col("n_chars") % 60).cast("int")))
-    return table(spark, d, "documents").join(labels, "doc_id").select(
+    return table(spark, d, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.concat(F.lit("feeds/"), F.col("source")).alias("source_repo"),
-        F.col("source").alias("company"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("location"),
+        F.col("source").alias("company"), F.col("text").alias("title"), F.col("lang").alias("location"),
         F.concat(F.lit("https://jobs.example.com/"), F.col("doc_id")).alias("url"), day.alias("date_posted"), screens.tier(flag, outcome).alias("tier"),
     )
 
 
-_BOARD_SQL = r"""b AS (SELECT doc_id AS id, 'feeds/' || source AS source_repo, source AS company, substr(text, 1, 40) AS title, lang AS location,
+_BOARD_SQL = r"""b AS (SELECT doc_id AS id, 'feeds/' || source AS source_repo, source AS company, text AS title, lang AS location,
   'https://jobs.example.com/' || doc_id AS url, CASE WHEN doc_id % 7 > 0 THEN DATE '2024-01-31' - (n_chars % 60)::INT END AS date_posted,
   CASE WHEN quality = 1 AND doc_id % 4 = 0 THEN 'confirmed' WHEN toxic = 1 THEN 'listed' WHEN doc_id % 3 = 0 THEN 'region' ELSE 'unverified' END AS tier
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 @query(rf"""WITH {_BOARD_SQL}
@@ -306,7 +306,7 @@ def run_health(spark, d):
 
 @query(r"""
 WITH x AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders), y AS (SELECT * FROM x WHERE n <= 45)
-SELECT ((n - 1) // 10)::BIGINT AS batch, count(*)::BIGINT AS cards, string_agg(o_orderpriority || ' - ' || o_orderkey, ';' ORDER BY n) AS titles FROM y GROUP BY 1""")
+SELECT ((n - 1) // 10)::BIGINT AS batch, count(*)::BIGINT AS cards, string_agg(o_orderpriority || ' — ' || o_orderkey, ';' ORDER BY n) AS titles FROM y GROUP BY 1""")
 def notify_batches(spark, d):
     rows = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("company"), F.col("o_orderkey").cast("string").alias("title"),
@@ -323,7 +323,7 @@ TAXONOMY = {"trash": {"implies": ["waste", "idiot"], "factor": 0.5}, "les": {"im
 
 def _keywords(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return keywords.section_keywords(docs, VOCABULARY, ALIASES, TAXONOMY)
+    return keywords.ranked(keywords.section_keywords(docs, VOCABULARY, ALIASES, TAXONOMY))
 
 
 @query()
@@ -334,7 +334,7 @@ def section_keywords(spark, d):
 @query()
 def page_keywords(spark, d):
     docs = table(spark, d, "pages").select(F.col("page_id").alias("doc"), F.col("html").alias("text"))
-    return keywords.section_keywords(docs, VOCABULARY, ALIASES, TAXONOMY)
+    return keywords.ranked(keywords.section_keywords(docs, VOCABULARY, ALIASES, TAXONOMY))
 
 
 @query(r"""
@@ -375,11 +375,11 @@ def _variant_words(spark, d):
     """Benchmark texts as variants: the words they hold are their keywords."""
     text = textnorm.normalize_text(F.col("text"))
     words = F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
-    return table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").cast("string").alias("variant_id"), F.explode(words).alias("term")).where(F.col("term").isin("the", "der"))
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("variant_id"), F.explode(words).alias("term")).where(F.col("term").isin("the", "der"))
 
 
 @query(rf"""
-WITH {_HITS}, v AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id % 2 = 0) WHERE w IN ('the', 'der')),
+WITH {_HITS}, v AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS w FROM benchmark) WHERE w IN ('the', 'der')),
 s AS (SELECT doc, 100 * sum(CASE WHEN v.term IS NOT NULL THEN weight ELSE 0 END) / sum(weight) AS n,
              100 * sum(CASE WHEN v.term IS NOT NULL THEN weight ELSE 0 END) FILTER (WHERE weight >= 0.9) / sum(weight) FILTER (WHERE weight >= 0.9) AS c FROM k LEFT JOIN v USING (term) GROUP BY doc),
 p AS (SELECT *, round_even(coalesce(0.6 * c + 0.4 * n, n), 0)::BIGINT AS percent FROM s)
@@ -406,7 +406,7 @@ def layout_scores(spark, d):
 
 
 @query(r"""
-WITH b AS (SELECT o_orderkey AS bullet_id, (o_orderkey % 10)::VARCHAR AS section_id, o_orderkey % 1000 = 1 AS mandatory FROM orders WHERE o_orderkey < 5000 OR o_orderkey % 2 = 0),
+WITH b AS (SELECT o_orderkey AS bullet_id, (o_orderkey % 10)::VARCHAR AS section_id, o_orderkey % 1000 = 1 AS mandatory FROM orders WHERE o_orderstatus <> 'P'),
 l AS (SELECT o_custkey % 40 AS layout_id, o_orderkey AS bullet_id, 'v' || (o_custkey % 40 % 9 // 8 * (o_orderkey % 2)) AS voice, 1.5::DOUBLE AS height FROM orders),
 p AS (SELECT * FROM l JOIN b USING (bullet_id)), s AS (SELECT DISTINCT section_id, 15 AS lo, 45 AS hi FROM b),
 n AS (SELECT i.layout_id, s.section_id, lo, hi, (SELECT count(*) FROM p WHERE p.layout_id = i.layout_id AND p.section_id = s.section_id) AS n FROM (SELECT DISTINCT layout_id FROM l) i, s)
@@ -417,7 +417,7 @@ UNION ALL SELECT layout_id, 'voices', count(DISTINCT voice)::VARCHAR FROM l GROU
 def layout_check(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
-    bullets = o.where("o_orderkey < 5000 OR o_orderkey % 2 = 0").select(k.alias("bullet_id"), (k % 10).cast("string").alias("section_id"), (k % 1000 == 1).alias("mandatory"))
+    bullets = o.where("o_orderstatus <> 'P'").select(k.alias("bullet_id"), (k % 10).cast("string").alias("section_id"), (k % 1000 == 1).alias("mandatory"))
     at = F.col("o_custkey") % 40
     voice = F.concat(F.lit("v"), (F.floor(at % 9 / 8) * (k % 2)).cast("string"))
     layouts = o.select(at.alias("layout_id"), k.alias("bullet_id"), voice.alias("voice"), F.lit(1.5).alias("height"))
@@ -427,29 +427,41 @@ def layout_check(spark, d):
 
 
 @query(r"""
-WITH s AS (SELECT n_nationkey::VARCHAR AS section_id, CASE WHEN n_nationkey = 3 THEN 9 ELSE 1 END AS lo, 5 AS hi FROM nation),
-b AS (SELECT s_suppkey::VARCHAR AS bullet_id, s_nationkey::VARCHAR AS section_id, s_suppkey % 2 = 0 AS must FROM supplier),
-v AS (SELECT p_partkey::VARCHAR AS variant_id, (p_partkey % 120)::VARCHAR AS bullet_id, CASE WHEN p_size = 50 THEN 'odd' WHEN p_size % 2 = 0 THEN 'formal' ELSE 'plain' END AS voice,
-             p_name || ' in ' || p_size AS text FROM part),
-n AS (SELECT s.*, (SELECT count(*) FROM b WHERE b.section_id = s.section_id) AS n, (SELECT count(*) FROM b WHERE b.section_id = s.section_id AND must) AS m FROM s)
-SELECT 'error' AS level, 'bullet_range' AS rule, section_id AS item FROM n WHERE lo > hi OR lo > n
+WITH s AS (SELECT 's' || n_nationkey AS section_id, CASE WHEN n_nationkey = 3 THEN 9 ELSE 1 END AS lo, 5 AS hi, CASE WHEN n_nationkey % 4 = 0 THEN 'Widgets' END AS stack FROM nation),
+b AS (SELECT CASE WHEN s_suppkey = 9 THEN 's9' ELSE 'b' || s_suppkey END AS bullet_id, 's' || s_nationkey AS section_id, s_suppkey % 2 = 0 AS must, s_suppkey % 10 = 0 AS eight FROM supplier),
+v AS (SELECT 'v' || p_partkey AS variant_id, 'b' || (p_partkey % 120) AS bullet_id, CASE WHEN p_size = 50 THEN 'odd' WHEN p_size = 49 THEN '' WHEN p_size % 2 = 0 THEN 'formal' ELSE 'plain' END AS voice,
+             CASE WHEN p_size = 48 THEN '' ELSE p_name || ' in ' || p_size END AS text, p_size, p_partkey % 2 = 1 AS cat FROM part),
+n AS (SELECT s.*, (SELECT count(*) FROM b WHERE b.section_id = s.section_id) AS n, (SELECT count(*) FROM b WHERE b.section_id = s.section_id AND must) AS m FROM s),
+p AS (SELECT v.*, b.section_id, b.eight, s.stack FROM v JOIN b USING (bullet_id) JOIN s USING (section_id)),
+i AS (SELECT section_id AS id FROM s UNION ALL SELECT bullet_id FROM b UNION ALL SELECT variant_id FROM v)
+SELECT 'error' AS level, 'duplicate_id' AS rule, id AS item FROM i GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'error', 'bullet_range', section_id FROM n WHERE lo > hi OR lo > n
 UNION ALL SELECT 'error', 'too_many_mandatory', section_id FROM n WHERE m > hi
-UNION ALL SELECT 'error', 'locked_number_not_in_fact', bullet_id FROM b WHERE bullet_id::INT % 10 = 0
+UNION ALL SELECT 'error', 'locked_number_not_in_fact', bullet_id FROM b WHERE eight
 UNION ALL SELECT 'error', 'no_variants', bullet_id FROM b WHERE bullet_id NOT IN (SELECT bullet_id FROM v)
-UNION ALL SELECT 'error', 'voice', variant_id FROM v WHERE voice = 'odd'
-UNION ALL SELECT 'error', 'text_length', variant_id FROM v WHERE length(text) > 16
-UNION ALL SELECT 'error', 'number_not_locked', v.variant_id FROM v JOIN b USING (bullet_id) WHERE v.text NOT LIKE '% in 7' AND NOT (v.text LIKE '% in 8' AND b.bullet_id::INT % 10 = 0)
-UNION ALL SELECT 'error', 'unsupported_keyword', variant_id FROM v WHERE NOT contains(text, 'widget') AND variant_id::INT % 2 = 0
-UNION ALL SELECT 'warning', 'unsupported_category', variant_id FROM v WHERE NOT contains(text, 'widget') AND variant_id::INT % 2 = 1
-UNION ALL SELECT 'warning', 'partial_voices', bullet_id FROM v WHERE voice <> 'odd' GROUP BY bullet_id HAVING count(DISTINCT voice) < 2""")
+UNION ALL SELECT 'error', 'unknown_voice', variant_id FROM v WHERE voice = 'odd'
+UNION ALL SELECT 'error', 'missing_voice', variant_id FROM v WHERE voice = ''
+UNION ALL SELECT 'error', 'empty_text', variant_id FROM v WHERE text = ''
+UNION ALL SELECT 'error', 'text_too_long', variant_id FROM v WHERE length(text) > 16
+UNION ALL SELECT 'error', 'number_not_locked', variant_id FROM p WHERE text <> '' AND p_size <> 7 AND NOT (p_size = 8 AND eight)
+UNION ALL SELECT CASE WHEN cat THEN 'warning' ELSE 'error' END, CASE WHEN cat THEN 'unsupported_category' ELSE 'unsupported_keyword' END, variant_id FROM p WHERE NOT contains(text, 'widget') AND stack IS NULL
+UNION ALL SELECT 'error', 'partial_voice', section_id || ':' || voice FROM p JOIN n USING (section_id) WHERE voice IN ('formal', 'plain') GROUP BY section_id, voice HAVING count(DISTINCT bullet_id) < any_value(n.n)""")
 def bank_lint(spark, d):
     n, s, p = table(spark, d, "nation"), table(spark, d, "supplier"), table(spark, d, "part")
-    sections = n.select(F.col("n_nationkey").cast("string").alias("section_id"), F.when(F.col("n_nationkey") == 3, 9).otherwise(1).alias("min_bullets"), F.lit(5).alias("max_bullets"))
-    locked = F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("7"), F.lit("8"))).otherwise(F.array(F.lit("7")))
-    bullets = s.select(F.col("s_suppkey").cast("string").alias("bullet_id"), F.col("s_nationkey").cast("string").alias("section_id"), F.lit("made 7").alias("fact"), locked.alias("facts_locked"), (F.col("s_suppkey") % 2 == 0).alias("must"))
-    voice = F.when(F.col("p_size") == 50, "odd").when(F.col("p_size") % 2 == 0, "formal").otherwise("plain")
-    variants = p.select(F.col("p_partkey").cast("string").alias("variant_id"), (F.col("p_partkey") % 120).cast("string").alias("bullet_id"), voice.alias("voice"), F.concat_ws(" in ", "p_name", "p_size").alias("text"))
-    kw = p.select(F.col("p_partkey").cast("string").alias("variant_id"), F.lit("widget").alias("keyword"), (F.col("p_partkey") % 2 == 1).alias("is_category"), F.array(F.lit("widget"), F.lit("widgets")).alias("spellings"))
+    key = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    sections = n.select(
+        key("s", F.col("n_nationkey")).alias("section_id"), F.when(F.col("n_nationkey") == 3, 9).otherwise(1).alias("min_bullets"), F.lit(5).alias("max_bullets"),
+        F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 4 == 0, "Widgets").alias("stack"),
+    )
+    locked = F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("7"), F.lit("8"), F.lit("T4"))).otherwise(F.array(F.lit("7"), F.lit("YOLOv8")))
+    bullets = s.select(
+        F.when(F.col("s_suppkey") == 9, "s9").otherwise(key("b", F.col("s_suppkey"))).alias("bullet_id"), key("s", F.col("s_nationkey")).alias("section_id"),
+        F.lit("made 7").alias("fact"), locked.alias("facts_locked"), (F.col("s_suppkey") % 2 == 0).alias("must"),
+    )
+    voice = F.when(F.col("p_size") == 50, "odd").when(F.col("p_size") == 49, "").when(F.col("p_size") % 2 == 0, "formal").otherwise("plain")
+    text = F.when(F.col("p_size") == 48, "").otherwise(F.concat_ws(" in ", "p_name", "p_size"))
+    variants = p.select(key("v", F.col("p_partkey")).alias("variant_id"), key("b", F.col("p_partkey") % 120).alias("bullet_id"), voice.alias("voice"), text.alias("text"))
+    kw = p.select(key("v", F.col("p_partkey")).alias("variant_id"), F.lit("widget").alias("keyword"), (F.col("p_partkey") % 2 == 1).alias("is_category"), F.array(F.lit("widget"), F.lit("widgets")).alias("spellings"))
     return keywords.lint_bank(sections, bullets, variants, kw, ("formal", "plain"), 16)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tideline.functions.dates import coerce_date, mmddyyyy
 from tideline.functions.textnorm import JOB_URL_RULES, content_id, posting_id, url_key
 from tideline.operators.screens import visible_companies
+from tideline.operators.state import checkpoint
 
 # What feeds say about sponsorship, in lower case.
 FLAGS = {"offers sponsorship": "yes", "does not offer sponsorship": "no", "u.s. citizenship is required": "no", "other": "unknown"}
@@ -49,11 +50,17 @@ LISTING = (
 
 
 def listings_json(spark: SparkSession, path: str, source: str, now: dt.datetime, src_ord: int = 0) -> DataFrame:
-    """One array of objects a file; ``locations`` is a list or a string; hidden rows and rows without company or title go."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_struct(LISTING)}>>")).alias("row_ord", "r"))
-    rows = raw.select("row_ord", "r.*").where(~_blank("company_name") & ~_blank("title") & F.coalesce("is_visible", F.lit(True)))
-    listed = F.from_json("locations", "array<string>")
-    place = F.when(F.col("locations").startswith("["), F.array_join(F.filter(listed, lambda x: F.trim(x) != ""), " | ")).otherwise(F.col("locations"))
+    """One array of objects a file; ``locations`` is a list or a string; hidden rows and rows without company or title go.
+
+    A file that is no JSON array fails the read; elements of the array that are no objects
+    are skipped.  A file is one value, so it has to fit in a row (2 GB).
+    """
+    listed = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("row_ord", "element"))
+    objects = raw.where(F.ltrim("element").startswith("{")).select("row_ord", F.from_json("element", f"struct<{_struct(LISTING)}>").alias("r"))
+    rows = objects.select("row_ord", "r.*").where(~_blank("company_name") & ~_blank("title") & F.coalesce("is_visible", F.lit(True)))
+    places = F.array_join(F.from_json("locations", "array<string>"), " | ")
+    place = F.when(F.col("locations").startswith("["), places).otherwise(F.col("locations"))
     flag = F.coalesce(_flag(F.col("sponsorship")), F.lit("unknown"))
     return _finish(
         rows.select(
@@ -79,43 +86,72 @@ def _flag(c: Column) -> Column:
 
 def clean_cell(c: Column) -> Column:
     """A table cell as text: breaks become bars, markup, links, arrows and emoji go."""
+    # What feeds put into cells.
     for pattern, to in (
-        (r"(?i)</?br\s*/?>", " | "), (r"<[^>]+>", ""), (r"\*\*", ""), ("↳", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"(?i)</?br\s*/?>", " | "), (r"<[^>]+>", ""), (r"\*\*", ""), ("↳", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
         (r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]", ""), (r"(?U)\s+", " "),
     ):
         c = F.regexp_replace(c, pattern, to)
     return F.btrim(c, F.lit(" |"))
 
 
+# Links in cells, and the marks of closed and of sponsored postings.
 HREF, LINK = r"""(?i)href=["'](https?://[^"']+)["']""", r"\]\((https?://[^)]+)\)"
 CLOSED, SPONSOR = "🔒", "🛂"
 
 
-def pipe_table(spark: SparkSession, path: str, source: str, now: dt.datetime, src_ord: int = 0) -> DataFrame:
-    """Markdown tables; a header row, which may come again, names the columns of the rows after it."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    lines = lines.where(F.ltrim("line").startswith("|"))
-    cells = F.transform(F.split(F.btrim("line", F.lit(" |")), r"\|"), lambda x: F.trim(x))
-    low = F.transform("cells", F.lower)
+#: column of a table -> what its header says
+HEADERS = {"company": ("company",), "title": ("role", "position"), "location": ("location",), "link": ("link", "application"), "date": ("date",)}
+
+
+def _named_columns(cells: Column) -> Column:
+    """struct of the place (from 1, 0: none) of each column of :data:`HEADERS` in a header row.
+
+    Cells are read from left to right; each gives the first column that it names and that is still free.
+    """
+    none = F.struct(*(F.lit(0).alias(c) for c in HEADERS))
+    numbered = F.transform(cells, lambda x, i: F.struct(F.lower(x).alias("says"), (i + 1).alias("at")))
+
+    def step(found: Column, cell: Column) -> Column:
+        fields, taken = [], F.lit(False)
+        for name, words in HEADERS.items():
+            fits = ~taken & _any_in(cell["says"], words) & (found[name] == 0)
+            fields.append(F.when(fits, cell["at"]).otherwise(found[name]).alias(name))
+            taken = taken | fits
+        return F.struct(*fields)
 
-    def place(*names: str) -> Column:
-        return F.array_position(F.transform(low, lambda x: F.coalesce(_any_in(x, names), F.lit(False))), True)
+    return F.aggregate(numbered, none, step)
 
+
+def pipe_table(spark: SparkSession, path: str, source: str, now: dt.datetime, src_ord: int = 0) -> DataFrame:
+    """Markdown tables; a header row, which may come again, names the columns of the rows after it.
+
+    A header has a cell that says ``company`` and nothing else, and one that names a role.  Rows
+    before it, separators, closed postings, and rows too short for the named columns go.  A
+    file without a table, or a header whose columns cannot be told apart, fails the read.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where(F.col("line").startswith("|"))
+    if lines.isEmpty():
+        raise ValueError(f"no table in {path}")
+    cells = F.transform(F.split(F.btrim("line", F.lit("|")), r"\|"), lambda x: F.trim(x))
     rows = lines.select("file", "pos", "line", cells.alias("cells"))
-    header = F.when(
-        (place("company") > 0) & (place("role", "position") > 0),
-        F.struct(place("company").alias("company"), place("role", "position").alias("title"), place("location").alias("location"), place("link", "application").alias("link"), place("date").alias("date")),
-    )
+    is_header = F.exists("cells", lambda x: F.lower(x) == "company") & F.exists("cells", lambda x: _any_in(F.lower(x), HEADERS["title"]))
+    rows = rows.withColumn("own", F.when(is_header, _named_columns(F.col("cells"))))
+    unclear = F.raise_error(F.concat(F.lit("no columns of company and role in "), F.col("line"))).cast(rows.schema["own"].dataType)
+    rows = rows.withColumn("own", F.when(F.col("own.title") == 0, unclear).otherwise(F.col("own")))
     upto = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("own", header).withColumn("h", F.last("own", ignorenulls=True).over(upto))
+    rows = rows.withColumn("h", F.last("own", ignorenulls=True).over(upto))
     rows = rows.where("own IS NULL AND h IS NOT NULL").where(~F.col("line").rlike(r"^[\s|:-]+$"))
+    rows = rows.where(F.size("cells") >= F.greatest(*(F.col(f"h.{c}") for c in HEADERS)))
     cell = lambda f: F.when(F.col(f"h.{f}") > 0, F.try_element_at("cells", F.col(f"h.{f}").cast("int")))
     some = lambda *xs: F.coalesce(*(F.nullif(x, F.lit("")) for x in xs), F.lit(""))
+    link = F.coalesce(cell("link"), F.lit(""))
     found = rows.select(
         F.col("pos").cast("long").alias("row_ord"), clean_cell(cell("company")).alias("company"), clean_cell(cell("title")).alias("title"),
         F.coalesce(F.nullif(clean_cell(cell("location")), F.lit("")), F.lit("Unspecified")).alias("location"),
-        (F.coalesce(cell("link"), F.lit("")).contains(CLOSED) & ~F.coalesce(cell("link"), F.lit("")).rlike(HREF)).alias("closed"),
-        some(F.regexp_extract(cell("link"), HREF, 1), F.regexp_extract(cell("title"), HREF, 1), F.regexp_extract(cell("link"), LINK, 1), F.regexp_extract(cell("title"), LINK, 1)).alias("url"),
+        (link.contains(CLOSED) & ~link.rlike(HREF)).alias("closed"),
+        some(F.regexp_extract(link, HREF, 1), F.regexp_extract(cell("title"), HREF, 1), F.regexp_extract(link, LINK, 1), F.regexp_extract(cell("title"), LINK, 1)).alias("url"),
         F.when(cell("title").contains(SPONSOR), "yes").otherwise("unknown").alias("sponsorship_flag"),
         coerce_date(clean_cell(cell("date")), now).alias("date_posted"),
     )
@@ -149,27 +185,31 @@ def quarantined_boards(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("board").agg(F.count_if(missing).alias("bad")).where("bad > 0")
 
 
-def _landed(spark: SparkSession, path: str, schema: str, registry: DataFrame) -> DataFrame:
-    """Files under ``path``/board=NAME/, each with its company from the registry (board, name)."""
+def _landed(spark: SparkSession, path: str, schema: str, registry: DataFrame, jobs: str) -> DataFrame:
+    """Jobs (board, company, row_ord, x) of the files under ``path``/board=NAME/, with companies from the registry (board, name).
+
+    A file that cannot be read as ``schema``, or lacks its list of jobs, gives one null job,
+    so that the board is quarantined instead of looking empty.
+    """
     text = spark.read.option("wholetext", True).option("basePath", path).text(f"{path}/board=*")
-    parsed = text.select(F.col("board").cast("string").alias("board"), F.from_json("value", schema).alias("j"))
-    return parsed.join(registry.select("board", F.col("name").alias("company")), "board")
+    parsed = text.select(F.col("board").cast("string").alias("board"), F.from_json("value", schema).alias("j")).select("board", F.col(jobs).alias("jobs"))
+    listed = F.coalesce("jobs", F.array(F.get("jobs", F.lit(0))))
+    own = registry.select(F.col("board").alias("b"), F.col("name").alias("company"))
+    return parsed.join(own, F.col("board") == F.col("b")).select("board", "company", F.posexplode(listed).alias("row_ord", "x"))
 
 
 def greenhouse_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt.datetime) -> DataFrame:
-    schema = "struct<jobs: array<struct<id: bigint, title: string, location: struct<name: string>, absolute_url: string, first_published: string>>>"
-    jobs = _landed(spark, path, schema, registry).select("board", "company", F.posexplode("j.jobs").alias("row_ord", "x"))
-    return jobs.select(
-        "board", "company", F.col("row_ord").cast("long"), F.col("x.id").cast("string").alias("key"), F.col("x.title").alias("title"), F.array("x.location.name").alias("places"),
+    schema = "struct<jobs: array<struct<id: string, title: string, location: struct<name: string>, absolute_url: string, first_published: string>>>"
+    return _landed(spark, path, schema, registry, "j.jobs").select(
+        "board", "company", F.col("row_ord").cast("long"), F.col("x.id").alias("key"), F.col("x.title").alias("title"), F.array("x.location.name").alias("places"),
         F.col("x.absolute_url").alias("url"), coerce_date(F.col("x.first_published"), now).alias("day"), F.lit(True).alias("listed"),
     )
 
 
 def ashby_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt.datetime) -> DataFrame:
     schema = "struct<jobs: array<struct<id: string, title: string, location: string, secondaryLocations: array<struct<location: string>>, isListed: boolean, publishedAt: string, jobUrl: string>>>"
-    jobs = _landed(spark, path, schema, registry).select("board", "company", F.posexplode("j.jobs").alias("row_ord", "x"))
     more = F.coalesce(F.transform("x.secondaryLocations", lambda s: s["location"]), F.array().cast("array<string>"))
-    return jobs.select(
+    return _landed(spark, path, schema, registry, "j.jobs").select(
         "board", "company", F.col("row_ord").cast("long"), F.lower("x.id").alias("key"), F.col("x.title").alias("title"), F.concat(F.array("x.location"), more).alias("places"),
         F.col("x.jobUrl").alias("url"), coerce_date(F.col("x.publishedAt"), now).alias("day"), F.coalesce("x.isListed", F.lit(True)).alias("listed"),
     )
@@ -177,9 +217,8 @@ def ashby_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt.date
 
 def lever_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt.datetime) -> DataFrame:
     schema = "array<struct<id: string, text: string, categories: struct<location: string, allLocations: array<string>>, createdAt: bigint, hostedUrl: string>>"
-    jobs = _landed(spark, path, schema, registry).select("board", "company", F.posexplode("j").alias("row_ord", "x"))
     every = F.when(F.size("x.categories.allLocations") > 0, F.col("x.categories.allLocations")).otherwise(F.array("x.categories.location"))
-    return jobs.select(
+    return _landed(spark, path, schema, registry, "j").select(
         "board", "company", F.col("row_ord").cast("long"), F.lower("x.id").alias("key"), F.col("x.text").alias("title"), every.alias("places"),
         F.col("x.hostedUrl").alias("url"), coerce_date(F.col("x.createdAt").cast("string"), now).alias("day"), F.lit(True).alias("listed"),
     )
@@ -201,10 +240,10 @@ def boards(spark: SparkSession, root: str, registry: DataFrame, now: dt.datetime
 SNAPSHOT_COLUMNS = ("id", "company_slug", "title", "url", "location", "seniority", "role_family", "posted_at")
 
 
-def tagged_snapshot(spark: SparkSession, path: str, companies: str) -> tuple[DataFrame, DataFrame]:
-    """The eight needed columns of a snapshot, and its company dimension (slug, name)."""
+def tagged_snapshot(spark: SparkSession, path: str, companies: str, exclude_tags=()) -> tuple[DataFrame, DataFrame]:
+    """The eight needed columns of a snapshot, and its company dimension (slug, name) without those of excluded industries."""
     dim = spark.read.parquet(companies).select("slug", "name", "industry_tags", F.col("_metadata.row_index").alias("row_ord"))
-    return spark.read.parquet(path).select(*SNAPSHOT_COLUMNS), visible_companies(dim, ("staffing", "recruiting"))
+    return spark.read.parquet(path).select(*SNAPSHOT_COLUMNS), visible_companies(dim, exclude_tags)
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -227,15 +266,13 @@ ADAPTERS = {
 def read_sources(spark: SparkSession, configs: list[dict], now: dt.datetime) -> tuple[DataFrame, dict[str, str]]:
     """All sources that can be read, in config order, and what was wrong with the others.
 
-    A source is tried by planning it and reading one row, so that one bad file or schema
-    does not stop the others; all of them failing, or all being empty, does.
+    A source is tried by reading all of it once, into the checkpoint folder, so that one bad
+    file or schema does not stop the others; all of them failing, or all being empty, does.
     """
     good, failed = [], {}
     for n, config in enumerate(configs):
         try:
-            rows = ADAPTERS[config["adapter"]](spark, config, now, n * 10)
-            rows.head(1)
-            good.append(rows)
+            good.append(checkpoint(ADAPTERS[config["adapter"]](spark, config, now, n * 10)))
         except Exception as e:  # whatever one source throws is reported, and its rows are left out
             failed[config["name"]] = f"{type(e).__name__}: {e}"[:500]
     if not good:

@@ -12,8 +12,10 @@ from tideline.operators.state import split_new
 
 
 def _shared_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 
 def run(stream: DataFrame, shape, seen: DataFrame, groups: DataFrame, out: str, checkpoint: str):
