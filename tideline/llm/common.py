@@ -14,6 +14,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
@@ -27,6 +29,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, those of the least hashes of ``key``, as a column ``o``; the same ones whatever the partitioning.
+
+    A first count gives a bound on the hash that about ``n`` rows pass, so that no task and
+    no driver meets more than those, however many partitions there are.  ``key`` is unique.
+    """
+    total, o = rows.count(), F.xxhash64(key, F.lit(seed))
+    share = min(1.0, (n + 6 * n**0.5 + 16) / max(1, total))
+    few = rows.withColumn("o", o).where(F.pmod(o, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return few.orderBy(F.pmod("o", F.lit(1 << 40)), key).limit(n)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 

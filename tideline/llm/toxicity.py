@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import hash_sample
 from tideline.llm.textops import Block, blocks, mix
 
 DIMS = 1 << 18
@@ -200,11 +201,11 @@ def _score(chain: list[Model], names: Sequence[str]):
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = 6_000, seed: int = 5) -> list[Model]:
     """A chain over ``categories``, columns of ``labels`` (doc_id, 0 or 1 each), from at most ``sample`` labelled documents."""
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in categories))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    chosen = known.withColumn("o", order).orderBy("o", "doc_id").limit(sample)
-    rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "o", *categories)  # at most ``sample`` rows
+    chosen = hash_sample(known, "doc_id", sample, seed)
+    # At most ``sample`` documents; of rows that repeat an id the least text counts.
+    rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in ("o", *categories)))
     schema = "words array<int>, marks array<long>, o long, " + ", ".join(f"{c} double" for c in categories)
-    found = rows.mapInArrow(_feature_rows, schema).orderBy("o").limit(sample).toArrow()
+    found = rows.select("text", "o", *categories).mapInArrow(_feature_rows, schema).orderBy("o").toArrow()
     words = found.column("words").combine_chunks()
     lengths = np.array([len(x) for x in words], dtype=np.int64)
     cols = words.flatten().to_numpy().astype(np.int64)
