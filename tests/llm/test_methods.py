@@ -286,6 +286,29 @@ def test_licences(spark):
     assert got == {0: ["mit"], 1: ["apache-2.0"], 2: ["proprietary"], 3: [], 4: ["cc-by-nc-4.0"], 5: []}
 
 
+def test_wrapped_licence_notices(spark):
+    """Notices planted into real texts, on one line and wrapped over several: found, and nothing in the texts without."""
+    import textwrap
+
+    rng = random.Random(4)
+    words = "the river old stone under many of this version copy works and people".split()
+    prose = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(6))
+    rows, wanted = [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for width in (10_000, 72, 45):
+                i = len(rows)
+                rows.append((i, prose() + "\n\n" + textwrap.fill(template, width) + "\n\n" + prose()))
+                wanted[i] = family
+    clean = [(10_000 + i, prose() + "\n\n" + prose()) for i in range(60)]
+    df = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, model=licenses.train(df.where("doc_id >= 10000"))).collect()}
+    hit = sum(wanted[i] in got[i].licences for i in wanted)
+    assert hit >= 0.95 * len(wanted) and not any(got[i].licences for i, _ in clean)
+    wrapped = [f for f in got[[i for i in wanted if wanted[i] == "mit"][-1]].found if f.confirmed]
+    assert wrapped and wrapped[0].lines > 1 and wrapped[0].paragraph == 7
+
+
 def test_nearest_neighbours_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     out = ann.search(e, F.col("vec_id") % 100 == 0).toPandas()

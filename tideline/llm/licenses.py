@@ -1,19 +1,24 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line.  Its features are word n-grams (one to three words, case folded, by hash); a multinomial logistic regression tells licence families from an unknown class.
-It is trained here: on variants of the families' templates (words dropped, ends cut) and
-on lines of a bounded sample of the corpus as unknown, those that resemble a template
-left out.  Half of the training rows only calibrate: one temperature scales the scores
-so that probabilities mean what they say, and a family counts only above ``least``.
-A prediction is confirmed if the paragraph's word pairs overlap a template of the family
-enough (Dice coefficient over word pairs, or containment of the whole template).
-
-Only n-grams of templates have weights, so lines with fewer than two words of any
-template are unknown without being scored.  Lines of all documents are scanned whole.
-
-Edge cases: null and empty texts have no paragraphs and no licence; blank lines are
-paragraphs without words; repeated lines count each; rows that repeat are scanned each;
-an empty table gives an empty result.
+A paragraph is a line, or a run of lines between blank ones, so that a notice is found on
+one line among others and wrapped over several.  Its features are word n-grams (one to
+three words, case folded, by hash); a multinomial logistic regression tells licence
+families from an unknown class.  It is trained here: on variants of the families'
+templates (words dropped, ends cut) and on one line each of a bounded sample of the
+corpus (``sample`` documents, ``line_chars`` characters a line) as unknown, those that
+resemble a template left out.  Half of the training rows only calibrate: one temperature
+scales the scores so that probabilities mean what they say, and a family counts only
+above ``least``.  A prediction is confirmed if the paragraph's word pairs overlap a
+template of the family enough (Dice coefficient over word pairs, or containment of the
+whole template).
+
+Only n-grams of templates have weights, so paragraphs with fewer than two words of any
+template are unknown without being scored.  Texts of all documents are scanned whole.
+
+Edge cases: null and empty texts have no paragraphs and no licence; blank lines have no
+words; repeated lines count each; a run of lines adds nothing to a family that one of
+them has shown; rows that repeat are scanned each; an empty table gives an empty result;
+columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import hash_sample
 from tideline.llm.textops import Block, blocks
 
 #: size of the table that tells most other words at once
@@ -36,22 +42,26 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
     "cc-by-nc-4.0": (
         "Licensed under CC BY-NC 4.0.",
@@ -80,6 +90,25 @@ def _lines_of(block: Block) -> tuple[Block, np.ndarray]:
     return lines, np.searchsorted(block.offsets, offsets[:-1], side="right") - 1
 
 
+def _runs_of(lines: Block) -> tuple[Block, np.ndarray, np.ndarray]:
+    """Runs of two or more lines that have words, as texts of their own; each run's first line, and its number of lines."""
+    wordy = lines.n_words > 0
+    # A run ends at a blank line and where another document begins: there the line before has no newline.
+    ends = lines.offsets[1:]
+    last = np.ones(lines.n, dtype=bool)
+    last[lines.offsets[:-1] < ends] = lines.data[ends[lines.offsets[:-1] < ends] - 1] != 10
+    begins = wordy.copy()
+    begins[1:] &= ~wordy[:-1] | last[:-1]
+    first = np.flatnonzero(begins)
+    run = np.cumsum(begins) - 1
+    size = np.bincount(run[wordy], minlength=len(first))[: len(first)]
+    first, size = first[size > 1], size[size > 1]
+    pieces = [lines.data[lines.offsets[i] : lines.offsets[i + n]] for i, n in zip(first, size)]
+    joined = np.concatenate([np.zeros(0, dtype=np.uint8), *pieces])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
+    return Block(np.where(joined == 10, 32, joined).astype(np.uint8), offsets, 0), first, size
+
+
 def _grams(lines: Block) -> tuple[np.ndarray, np.ndarray]:
     """(line, 64-bit hash) of runs of one to three words."""
     words = lines.word_hashes(fold_case=True)
@@ -196,44 +225,52 @@ class Classifier:
 
 
 def _scan(model: Classifier, least: float, confirm: float):
+    def families(block: Block) -> Iterator[tuple[int, dict]]:
+        for i, probability in zip(*model.predict(block)):
+            best = int(probability.argmax())
+            if FAMILIES[best] != "unknown" and probability[best] >= least:
+                text = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode("utf-8", "replace").strip()
+                alike = similarity(text, FAMILIES[best])
+                yield int(i), {"family": FAMILIES[best], "probability": round(float(probability[best]), 6), "similarity": round(alike, 6), "confirmed": alike >= confirm}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 lines, text_of = _lines_of(block)
                 first = np.searchsorted(text_of, np.arange(block.n))
-                at, p = model.predict(lines)
                 found: list[list] = [[] for _ in range(block.n)]
-                for i, probability in zip(at, p):
-                    best = int(probability.argmax())
-                    if FAMILIES[best] == "unknown" or probability[best] < least:
-                        continue
-                    line = lines.data[lines.offsets[i] : lines.offsets[i + 1]].tobytes().decode("utf-8", "replace").strip()
-                    alike = similarity(line, FAMILIES[best])
-                    found[text_of[i]].append(
-                        {
-                            "paragraph": int(i - first[text_of[i]]), "family": FAMILIES[best], "probability": round(float(probability[best]), 6),
-                            "similarity": round(alike, 6), "confirmed": alike >= confirm,
-                        }
-                    )
-                kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(found, type=kind)], ["doc_id", "found"])
+                shown = set()  # (line, family) that a line alone confirms
+                for i, what in families(lines):
+                    found[text_of[i]].append({"paragraph": int(i - first[text_of[i]]), "lines": 1, **what})
+                    if what["confirmed"]:
+                        shown.add((i, what["family"]))
+                runs, at, size = _runs_of(lines)
+                for i, what in families(runs):
+                    if what["confirmed"] and not any((line, what["family"]) in shown for line in range(at[i], at[i] + size[i])):
+                        found[text_of[at[i]]].append({"paragraph": int(at[i] - first[text_of[at[i]]]), "lines": int(size[i]), **what})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(found, type=FOUND)], ["doc_id", "found"])
 
     return run
 
 
-def train(docs: DataFrame, sample: int = 2_000, seed: int = 3) -> Classifier:
-    """A classifier whose unknown class comes from one line each of at most ``sample`` documents, in the order of a hash of their ids."""
+FOUND = pa.list_(
+    pa.struct([("paragraph", pa.int32()), ("lines", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
+)
+
+
+def train(docs: DataFrame, sample: int = 2_000, seed: int = 3, line_chars: int = 2_000) -> Classifier:
+    """A classifier whose unknown class comes from one line each (up to ``line_chars`` characters) of at most ``sample`` documents."""
+    ids = hash_sample(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", sample, seed)
     lines = F.split("text", "\n")
-    order = F.xxhash64("doc_id", F.lit(seed))
-    one = F.substring(F.get(lines, F.pmod(order, F.size(lines)).cast("int")), 1, 2000)
-    rows = docs.where("text IS NOT NULL").select("doc_id", order.alias("o"), one.alias("line")).orderBy("o", "doc_id").limit(sample)
-    return Classifier([r["line"] or "" for r in rows.select("line").collect()], seed)  # at most ``sample`` lines
+    one = F.substring(F.get(lines, F.pmod("o", F.size(lines)).cast("int")), 1, line_chars)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "o").agg(F.min(one).alias("line"))  # at most ``sample`` rows
+    return Classifier([r["line"] or "" for r in rows.orderBy("o").collect()], seed)
 
 
 def scan(docs: DataFrame, least: float = 0.6, confirm: float = 0.6, model: Classifier | None = None) -> DataFrame:
-    """doc_id, found (array of paragraph, family, probability, similarity, confirmed) and licences (confirmed families) of every row."""
+    """doc_id, found (array of paragraph: its first line, lines: how many, family, probability, similarity, confirmed) and licences (confirmed families) of every row."""
     kind = dict(docs.dtypes)["doc_id"]
-    item = "struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>"
+    item = "struct<paragraph:int,lines:int,family:string,probability:double,similarity:double,confirmed:boolean>"
     found = docs.select("doc_id", "text").mapInArrow(_scan(model or train(docs), least, confirm), f"doc_id {kind}, found array<{item}>")
     confirmed = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: x["confirmed"]), lambda x: x["family"])))
     return found.select("doc_id", "found", confirmed.alias("licences"))
