@@ -30,15 +30,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows, those of the least hashes of ``key``, as a column ``o``; the same ones whatever the partitioning.
+    """At most ``n`` keys, those of the least hashes (column ``o``), with the least value of each other column.
 
-    A first count gives a bound on the hash that about ``n`` rows pass, so that no task and
-    no driver meets more than those, however many partitions there are.  ``key`` is unique.
+    The same ones whatever the partitioning.  A first count gives a bound on the hash that
+    about ``n`` rows pass, so that no task and no driver meets more than those, however many
+    partitions there are; rows that repeat a key are aggregated before they move.
     """
     total, o = rows.count(), F.xxhash64(key, F.lit(seed))
     share = min(1.0, (n + 6 * n**0.5 + 16) / max(1, total))
-    few = rows.withColumn("o", o).where(F.pmod(o, F.lit(1 << 40)) < int(share * (1 << 40)))
-    return few.orderBy(F.pmod("o", F.lit(1 << 40)), key).limit(n)
+    few = rows.withColumn("o", F.pmod(o, F.lit(1 << 40))).where(F.col("o") < int(share * (1 << 40)))
+    one = few.groupBy(key, "o").agg(F.lit(0).alias("__"), *(F.min(c).alias(c) for c in rows.columns if c != key)).drop("__")
+    return one.orderBy("o", key).limit(n)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -260,7 +260,7 @@ FOUND = pa.list_(
 
 def train(docs: DataFrame, sample: int = 2_000, seed: int = 3, line_chars: int = 2_000) -> Classifier:
     """A classifier whose unknown class comes from one line each (up to ``line_chars`` characters) of at most ``sample`` documents."""
-    ids = hash_sample(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", sample, seed)
+    ids = hash_sample(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id"), "doc_id", sample, seed)
     lines = F.split("text", "\n")
     one = F.substring(F.get(lines, F.pmod("o", F.size(lines)).cast("int")), 1, line_chars)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "o").agg(F.min(one).alias("line"))  # at most ``sample`` rows
