@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
-An index is fitted on a bounded sample (``sample`` rows in the order of a hash of their
-ids): a random rotation, list centres by k-means, and the number of lists to probe, which
-grows until queries of the sample find ``recall`` of their neighbours.  Every row is put
-in the list of its nearest centre.  A query is held against the rows of its probed lists:
-the rotated vectors are read in column blocks, and after each block a hypothesis test on
-the partial distance abandons candidates that cannot be among the nearest so far.
-Survivors are ranked by their exact distance on the original vectors.
-
-Lists are dealt into cells of about ``cell`` rows by a hash of the id, and queries into
-blocks, so a list with a third of all rows is many tasks; each gives its best k only.
+An index is fitted on a bounded sample (``sample`` rows of the least hashes of their ids):
+a random rotation, list centres by k-means (the square root of the number of rows, at most
+one for 40 sampled rows), and the number of lists to probe, which grows until queries of
+the sample find ``recall`` of their neighbours by the very scan below.  Every row is put in
+the list of its nearest centre.  A query is held against the rows of its probed lists: the
+rotated vectors are read in column blocks, and after each block a hypothesis test on the
+partial distance abandons candidates that cannot be among the nearest so far; the distances
+of those that look best then tighten the limit.  Survivors are ranked by their exact
+distance on the original vectors.
+
+Lists are dealt into cells of about ``cell`` rows by a hash of the id, and the queries that
+probe a list into blocks of about ``query_block``, so a list with a third of all rows is
+many tasks; each gives its best k only.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part; equal vectors tie and are ranked by id; rows that
-repeat a query's id are not its neighbours; a query that finds fewer than k neighbours in
-its lists is held against all lists; an empty table gives an empty result.
+non-finite components take no part; equal vectors tie and are ranked by id; of rows that
+repeat a query's id the least vector asks, and none is its neighbour; a query that finds
+fewer than k neighbours in its lists is held against all lists; an empty table gives an
+empty result; columns beside vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpoint
+from tideline.llm.common import checkpoint, hash_sample
 
 BLOCK_DIMS = 16
 #: strictness of the hypothesis test: larger keeps more candidates
 EPSILON = 2.5
+#: rows of the sample that measure recall
+TESTS = 400
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -48,14 +54,14 @@ def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
 
 
-def fit(rows: DataFrame, sample: int, lists: int, k: int, recall: float, seed: int = 11) -> dict:
+def fit(rows: DataFrame, sample: int, lists: int | None, k: int, recall: float, seed: int = 11) -> dict:
     """Rotation, centres and number of probes from a sample of at most ``sample`` rows."""
-    taken = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("v").toArrow()
-    x = _matrix(taken.column("v").combine_chunks())
+    taken = hash_sample(rows, "vec_id", sample, seed).select("vec_id", "v").toArrow()
+    ids, x = taken.column("vec_id").to_numpy(), _matrix(taken.column("v").combine_chunks())
     rng = np.random.default_rng(seed)
     dims = x.shape[1]
     rotation, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-    n_lists = max(1, min(lists, len(x) // 40))
+    n_lists = max(1, min(lists or int(rows.count() ** 0.5), len(x) // 40))
     centres = x[rng.choice(len(x), n_lists, replace=False)] if len(x) else np.zeros((1, dims))
     for _ in range(12):
         near = _square(x, centres).argmin(1)
@@ -63,17 +69,31 @@ def fit(rows: DataFrame, sample: int, lists: int, k: int, recall: float, seed: i
         np.add.at(sums, near, x)
         count = np.bincount(near, minlength=n_lists)
         centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
-    tests = x[:: max(1, len(x) // 400)][:400]
-    truth = np.argpartition(_square(tests, x), min(k, len(x) - 1), axis=1)[:, : k + 1] if len(x) > k + 1 else None
-    probes = n_lists
-    if truth is not None:
-        near = _square(x, centres).argmin(1)
-        order = _square(tests, centres).argsort(1)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(n_lists), order.shape), axis=1)
-        needed = np.take_along_axis(rank, near[truth], axis=1)
-        probes = next((p for p in range(1, n_lists + 1) if (needed < p).mean() >= recall), n_lists)
-    return {"rotation": rotation, "centres": centres, "probes": probes, "dims": dims}
+    index = {"rotation": rotation, "centres": centres, "probes": n_lists, "dims": dims}
+    if len(x) <= k + 1:
+        return index
+    # Neighbours of some sampled rows, themselves left out, and in which of their lists by nearness they lie.
+    at = np.arange(0, len(x), max(1, len(x) // TESTS))[:TESTS]
+    apart = _square(x[at], x)
+    apart[np.arange(len(at)), at] = np.inf
+    truth = np.argpartition(apart, k - 1, axis=1)[:, :k]
+    near = _square(x, centres).argmin(1)
+    order = _square(x[at], centres).argsort(1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n_lists), order.shape), axis=1)
+    needed = np.take_along_axis(rank, near[truth], axis=1)
+    probes = next((p for p in range(1, n_lists + 1) if (needed < p).mean() >= recall), n_lists)
+    turned = x @ rotation
+    while probes < n_lists:
+        hit = 0
+        for j, i in enumerate(at):
+            there = np.flatnonzero(rank[j][near] < probes)
+            found, _ = nearest(ids[there], x[there], turned[there], int(ids[i]), x[i], turned[i], k)
+            hit += len(np.intersect1d(found, ids[truth[j]]))
+        if hit >= recall * truth.size:
+            break
+        probes += max(1, probes // 4)
+    return index | {"probes": min(probes, n_lists)}
 
 
 def _assign(index: dict):
@@ -106,22 +126,25 @@ def nearest(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_id: int, q
     other = np.flatnonzero(ids != query_id)
     if not len(other):
         return ids[:0], np.zeros(0)
-    first = other[: 8 * k]
-    bound = np.sqrt(((x[first] - q) ** 2).sum(1))
-    limit = np.partition(bound, k - 1)[k - 1] if len(bound) >= k else np.inf
+    exact = lambda at: np.sqrt(((x[at] - q) ** 2).sum(1))
+    kth = lambda d: np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
+    limit = kth(exact(other[: 8 * k]))
     alive, partial = other, np.zeros(len(other))
     for d in range(0, dims, BLOCK_DIMS):
         partial += ((turned[alive, d : d + BLOCK_DIMS] - q_turned[d : d + BLOCK_DIMS]) ** 2).sum(1)
         seen = min(d + BLOCK_DIMS, dims)
         if seen == dims:
             break
+        # Those that look nearest so far show how near the k-th of all is at most.
+        if len(alive) > 2 * k:
+            limit = min(limit, kth(exact(alive[np.argpartition(partial, 2 * k)[: 2 * k]])))
         # Under the hypothesis that the distance is within the limit, the scaled partial distance rarely exceeds this.
         stay = np.sqrt(partial * dims / seen) <= (1 + EPSILON / np.sqrt(seen)) * limit * (1 + 1e-9)
         alive, partial = alive[stay], partial[stay]
     if len(alive) > k:
         cut = np.sqrt(np.partition(partial, k - 1)[k - 1]) * (1 + 1e-9) + 1e-12
         alive = alive[np.sqrt(np.maximum(partial, 0)) <= cut]
-    score = np.sqrt(((x[alive] - q) ** 2).sum(1))
+    score = exact(alive)
     best = np.lexsort((ids[alive], score))[:k]
     return ids[alive][best], score[best]
 
@@ -144,7 +167,7 @@ def _scan(index: dict, k: int):
 
 
 def search(
-    embeddings: DataFrame, is_query, k: int = 10, sample: int = 20_000, lists: int = 64, recall: float = 0.97,
+    embeddings: DataFrame, is_query, k: int = 10, sample: int = 20_000, lists: int | None = None, recall: float = 0.97,
     cell: int = 16_384, query_block: int = 4_096, seed: int = 11,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each row for which ``is_query`` holds."""
@@ -154,22 +177,19 @@ def search(
     rows = rows.where(F.size("v") == dims)
     index = fit(rows, sample, lists, k, recall, seed)
     placed = checkpoint(rows.mapInArrow(_assign(index), "vec_id long, v array<double>, list int"))
-    sizes = placed.groupBy("list").count().select("list", F.ceil(F.col("count") / cell).cast("int").alias("cells"))
-    sizes = F.broadcast(sizes)  # one row a list, at most ``lists``
-    queries = placed.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v")
-    n_queries, n_rows = queries.count(), placed.count()
-    q_blocks = max(1, -(-n_queries // query_block))
+    queries = checkpoint(placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n_rows = placed.count()
 
     def run(asked: DataFrame, everywhere: bool) -> DataFrame:
-        dealt = placed.join(sizes, "list").select(
-            "list", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int").alias("cell"),
-            F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("block"), "vec_id", "v",
-        )
-        probing = asked.mapInArrow(_probe(index, everywhere), "vec_id long, v array<double>, list int").join(sizes, "list")
-        probing = probing.select(
-            "list", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
-            F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("block"), "vec_id", "v",
-        )
+        probing = checkpoint(asked.mapInArrow(_probe(index, everywhere), "vec_id long, v array<double>, list int"))
+        parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+        # A row goes to as many blocks as there are of queries that probe its list.
+        sizes = placed.groupBy("list").agg(F.count("*").alias("rows")).join(probing.groupBy("list").agg(F.count("*").alias("asked")), "list")
+        sizes = F.broadcast(sizes.select("list", parts("rows", cell).alias("cells"), parts("asked", query_block).alias("blocks")))  # one row a list
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        of = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        dealt = placed.join(sizes, "list").select("list", of("cells").alias("cell"), each("blocks").alias("block"), "vec_id", "v")
+        probing = probing.join(sizes, "list").select("list", each("cells").alias("cell"), of("blocks").alias("block"), "vec_id", "v")
         keys = ["list", "cell", "block"]
         found = dealt.groupBy(keys).cogroup(probing.groupBy(keys)).applyInArrow(_scan(index, k), "query_id long, vec_id long, score double")
         best = Window.partitionBy("query_id").orderBy("score", "vec_id")
