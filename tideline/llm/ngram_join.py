@@ -21,7 +21,9 @@ The job, none of whose steps gathers a group in one row, one task or the driver:
    are held against each other, since pairs inside a cluster cannot change the result.
 
 Every pair is verified on whole sets.  Hashes have 64 bits (32 bits of a digest beside
-32 more of a shingle in step 2), which is the only place where chance enters.
+32 more of a shingle in step 2), which is the only place where chance enters: of n distinct
+sets about n^2 / 2^65 unlike pairs share a digest, 3 in a million runs at 10^7 sets, some
+270 pairs at 10^11; in step 2 an equal hash can only keep a set that has no link.
 
 Edge cases: a null or empty text, or one of blanks, has an empty set, links with nothing
 and is its own component; texts of one to four words have one shingle, the whole
@@ -52,7 +54,11 @@ _MANY = 0xFFFFFFFF
 #: a shingle of more of the remaining sets than this counts as frequent
 FREQUENT = 40
 #: groups of sets up to this size give all pairs across clusters as rows; larger ones go through blocks of this many
-SMALL, BLOCK = 24, 2048
+SMALL, BLOCK = 24, 1024
+#: entries of shingles, and elements of sets, that one bucket holds (about)
+BUCKET = 1 << 24
+#: larger groups than this many are not broadcast
+BROADCAST_GROUPS = 200_000
 
 
 def shingle_sets(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -478,7 +484,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     """(sid, label): label is the least digest of the cluster of each set that has a link."""
     spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    # Buckets are groups of one Python worker: as many as keep them within bounded bytes, whatever the number of partitions.
+    entries = described.agg(F.sum("n_half")).first()[0] or 0
+    buckets = max(4 * shuffle_partitions(spark), -(-entries // BUCKET))
     support = (
         docs.select("text")
         .mapInArrow(_spread(buckets, 1, _read_half, _support_out), "bucket int, entries binary")
@@ -500,7 +508,8 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     )
     texts = docs.select("doc_id", "text").join(alive.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = checkpoint(texts.select("sid", "text").mapInArrow(_survivor_sets, "sid long, n long, elements binary"))
-    dealt = shuffle_partitions(spark)
+    elements = sets.agg(F.sum("n")).first()[0] or 0
+    dealt = max(shuffle_partitions(spark), -(-elements // (BUCKET // 4)))
     hot = (
         sets.mapInArrow(_spread(buckets, FREQUENT, _read_sets, _by_set(dealt)), "bucket int, entries binary")
         .groupBy("bucket")
@@ -568,10 +577,11 @@ def _across(ties: DataFrame, first: DataFrame, labels: DataFrame, sets: DataFram
     members = labelled.mapInArrow(_members, "sig long, sid long, label long")
     mixed = members.groupBy("sig").agg(F.min("sid").alias("centre"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     groups = checkpoint(members.join(mixed.where("lo < hi").select("sig", "centre"), "sig").select("centre", "sid").distinct())
-    sizes = groups.groupBy("centre").agg(F.count("*").alias("size"))
-    sized = groups.join(sizes, "centre")
+    sizes = checkpoint(groups.groupBy("centre").agg(F.count("*").alias("size")).where(F.col("size") > SMALL))
+    # The larger groups are told by a broadcast of their names, so that their members stay where they are.
+    large = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
 
-    few = sized.where(F.col("size") <= SMALL).join(labelled.select("sid", "n", "label"), "sid")
+    few = groups.join(large.select("centre"), "centre", "left_anti").join(labelled.select("sid", "n", "label"), "sid")
     x = few.select("centre", F.col("sid").alias("src"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
     y = few.select("centre", F.col("sid").alias("dst"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
     pairs = x.join(y, "centre").where("a_label < b_label").where(alike("a_n", "b_n")).select("src", "dst")
@@ -579,7 +589,7 @@ def _across(ties: DataFrame, first: DataFrame, labels: DataFrame, sets: DataFram
     blocks_of = F.ceil(F.col("size") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     many = (
-        sized.where(F.col("size") > SMALL)
+        groups.join(large, "centre")
         .withColumn("blocks", blocks_of)
         .select("centre", "sid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         .join(labelled.mapInArrow(_bitmaps, "sid long, n long, label long, bits binary"), "sid")
@@ -625,14 +635,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat both id and text one is kept; ids that are unique cost no further shuffle.
     """
+    key = "__id"
+    while key in docs.columns:
+        key += "_"
     found = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lead = checkpoint(found.groupBy(F.col("doc_id").alias("__id")).agg((F.count("*") > 1).alias("__again")))
+    lead = checkpoint(found.groupBy(F.col("doc_id").alias(key)).agg((F.count("*") > 1).alias("again")))
 
     def rows(which: DataFrame) -> DataFrame:
-        return docs.join(which.select("__id").hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+        return docs.join(which.select(key).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
 
-    repeated = lead.where("__again")
-    kept = rows(lead.where("NOT __again"))
+    repeated = lead.where("again")
+    kept = rows(lead.where("NOT again"))
     return kept if repeated.isEmpty() else kept.union(rows(repeated).dropDuplicates(["doc_id", "text"]))
 
 
