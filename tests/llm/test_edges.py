@@ -20,7 +20,7 @@ ROWS = [
 def docs(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
     # further columns whose names the operators use inside
-    for name in ("n_words", "h", "sid", "size", "copies", "__text", "label", "key", "block", "kept"):
+    for name in ("n_words", "h", "sid", "size", "copies", "__text", "label", "key", "block", "kept", "__id", "again"):
         df = df.withColumn(name, F.lit(name))
     return df
 
@@ -88,6 +88,8 @@ def test_ann(spark):
     out = ann.search(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in out if r.query_id == 0] == [5, 10, 15, 20, 25, 1, 6, 11, 16, 21] and out[0].score == 0.0
     assert {r.query_id for r in out} == {0, 10, 20} and ann.search(df.limit(0), F.lit(True)).count() == 0
+    twice = ann.search(spark.createDataFrame([(1, [3.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.5]), (3, [3.0, 1.1])], "vec_id long, embedding array<float>"), F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [r.vec_id for r in twice] == [2, 3] and twice[0].score == 0.5  # the least vector asks
     assert ann.search(df.where("vec_id < 4 AND vec_id > 0"), F.col("vec_id") == 1).count() == 2
 
 
@@ -105,6 +107,16 @@ def test_chat(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_urls_of_any_length_and_tied_purities(spark):
+    deep = "http://h.com" + "".join(f"/s{chr(97 + i)}" for i in range(9))
+    rows = [(i, f"{deep}/{'bad' if i % 2 else 'good'}") for i in range(80)] + [(100, "http://h.com/" + "x" * 50_000), (101, "http://tie.com/a"), (102, "http://tie.com/b")]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(80)] + [(101, False), (102, False)], "page_id long, good boolean")
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()}
+    # paths that part in their tenth segment
+    assert out[1].verdict == "block" and out[0].verdict == "allow" and out[1].template.endswith("/bad")
+    assert len(out[100].path) == 50_001 and out[100].verdict == "allow" and out[101].purity == out[102].purity and out[101].verdict == out[102].verdict
+
+
 def test_urls(spark):
     rows = [(1, "http://a.EXAMPLE.com/en/7x?q"), (2, "https://b.net/de/1"), (3, None), (4, "no scheme"), (5, "x://y"), (1, "http://a.EXAMPLE.com/en/7x?q"), (6, "http://notexample.com/en/7")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(0)).withColumn("template", F.lit(0))

@@ -333,6 +333,71 @@ def test_templates_reject_impure_branches(spark):
     assert set(out.template[out.index >= 1000]) == {"/{*}/p"}
 
 
+def verdicts_by_brute_force(rows, labels, max_children=16, rare=0.05, z=1.96, least=0.5, prior=10.0):
+    """The tree over lists of pages in plain Python."""
+    import re
+
+    def shape(s):
+        if re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", s):
+            return "{date}"
+        if re.fullmatch(r"\d+", s):
+            return "{n}"
+        return "{id}" if re.fullmatch(r"(?=.*\d)[0-9a-f-]{8,}", s) else re.sub(r"\d+", "{n}", s)
+
+    pages = {i: (url.split("/")[2], [shape(s) for s in url.split("/")[3:] if s]) for i, url in rows}
+    names = {i: [host] for i, (host, _) in pages.items()}
+    for level in range(max(len(p) for _, p in pages.values())):
+        branches = collections.defaultdict(lambda: collections.defaultdict(list))
+        for i, (_, path) in pages.items():
+            if level < len(path):
+                branches[tuple(names[i])][path[level]].append(i)
+        for children in branches.values():
+            total, facts = sum(map(len, children.values())), {}
+            for child, own in children.items():
+                marks = [labels[i] for i in own if i in labels]
+                on = max([pages[i][1][level + 1] for i in own if level + 1 < len(pages[i][1]) and pages[i][1][level + 1].startswith("{")], default="")
+                facts[child] = on, sum(marks), len(marks)
+            for child, own in children.items():
+                on, good, n = facts[child]
+                all_good, all_n = (sum(f[k] for f in facts.values() if f[0] == on) for k in (1, 2))
+                name = child
+                if child.startswith("{"):
+                    pass
+                elif len(children) > max_children and len(own) < rare * total:
+                    name = "{*}"
+                elif n >= 10 and all_n - n >= 10:
+                    p = all_good / all_n
+                    if abs(good / n - (all_good - good) / (all_n - n)) <= z * (p * (1 - p) * (1 / n + 1 / (all_n - n))) ** 0.5:
+                        name = "{~" + on + "}"
+                for i in own:
+                    names[i].append(name)
+    overall, out = sum(labels.values()) / len(labels), {}
+    for template in set(map(tuple, names.values())):
+        own = [i for i in names if tuple(names[i]) == template]
+        marks = [labels[i] for i in own if i in labels]
+        purity = (sum(marks) + prior * overall) / (len(marks) + prior)
+        for i in own:
+            out[i] = "block" if marks and purity < least else "allow", round(purity, 9), "/" + "/".join(template[1:]) if template[1:] else ""
+    return out
+
+
+def test_url_tree_by_brute_force(spark):
+    """Several hosts whose verdicts come from the tree: branches of their own, merged ones, rare ones under a wildcard."""
+    rng = random.Random(6)
+    rows, labels = [], {}
+    for i in range(3000):
+        host = rng.choice(["a.com", "a.com", "b.org", "c.net"])
+        section = rng.choice(["news", "spam", "blog", "tags", "item" + str(rng.randrange(40)), "user" + "".join(rng.choice("abcdefgh") for _ in range(3))])
+        rows.append((i, f"http://{host}/{section}/{rng.choice([str(rng.randrange(99)), '2024-05-01', 'about', 'x/y'])}"))
+        if rng.random() < 0.6:
+            labels[i] = int(rng.random() < {"spam": 0.1, "tags": 0.3 if host == "b.org" else 0.9}.get(section, 0.8))
+    marked = spark.createDataFrame([(i, bool(v)) for i, v in labels.items()], "page_id long, good boolean")
+    out = {r.page_id: (r.verdict, r.purity, r.template) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), marked, rules=()).collect()}
+    wanted = verdicts_by_brute_force(rows, labels)
+    assert {v for v, *_ in wanted.values()} == {"allow", "block"} and any("{*}" in t for *_, t in wanted.values()) and any("{~" in t for *_, t in wanted.values())
+    assert out == wanted
+
+
 def test_blocks_cut_at_rows():
     column = pa.array(["a b", None, "", "ccc", "d" * 50])
     parts = list(blocks(column, most_bytes=4))

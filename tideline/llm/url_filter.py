@@ -5,7 +5,9 @@ are wildcards from the start; level by level, a branch with more than ``max_chil
 children gives up those that are rare in it to a wildcard, and sibling branches whose
 labelled purity cannot be told apart (a two-proportion test against the other siblings)
 and that go on alike are merged.  A template's purity is the share of good labels,
-smoothed by the share over all labels; templates below ``least_purity`` are rejected.
+smoothed by the share over all labels; labelled templates below ``least_purity`` are
+rejected.  Segments beyond ``depth`` stay as they are, so branches that part below it are
+told apart too.
 
 Only DataFrame expressions, joins and aggregations are used.  The tree is built over
 counts by (host, path of shapes), never over rows, and the rows meet their verdict in one
@@ -13,14 +15,15 @@ join, which Spark may split where a host is hot; it is a broadcast only if the v
 are counted to be few.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and forms a
-tree of its own; templates without labels have the purity of all labels; repeated pages
-are counted and judged each; an empty table, or one without labels, is allowed: then
+tree of its own; templates without labels have the purity of all labels and are not
+rejected; equal purities have one verdict; a url of any length is read whole; repeated
+pages are counted and judged each; an empty table, or one without labels, is allowed: then
 nothing is rejected; columns beside page_id and url are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import checkpoint
@@ -68,50 +71,44 @@ def shape(segment: Column) -> Column:
 
 
 def templates(
-    counts: DataFrame, max_children: int = 16, rare: float = 0.05, z: float = 1.96, depth: int = 6
+    counts: DataFrame, max_children: int = 16, rare: float = 0.05, z: float = 1.96, depth: int = 8
 ) -> DataFrame:
-    """(host, shapes) -> template, for ``counts`` (host, shapes, n, good, bad).
-
-    What lies deeper than ``depth`` segments becomes one trailing wildcard.
-    """
+    """(host, shapes) -> template, for ``counts`` (host, shapes, n, good, bad)."""
     tree = counts.select("host", "shapes", "n", "good", "bad", F.lit("").alias("template"))
-    for level in range(1, depth + 1):
+    deepest = counts.agg(F.max(F.size("shapes"))).first()[0] or 0
+    for level in range(1, min(depth, deepest) + 1):
         child = F.get("shapes", F.lit(level - 1))
         at = tree.withColumn("child", child).withColumn("next", F.coalesce(F.get("shapes", F.lit(level)), F.lit("")))
-        branches = (
+        labelled = F.col("good") + F.col("bad")
+        branches = checkpoint(
             at.where("child IS NOT NULL")
             .groupBy("host", "template", "child")
             .agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max(F.when(F.col("next").startswith("{"), F.col("next")).otherwise(F.lit(""))).alias("on"))
         )
-        siblings = Window.partitionBy("host", "template")  # children of one branch: counts, not rows
-        alike = Window.partitionBy("host", "template", "on")
-        labelled = F.col("good") + F.col("bad")
-        branches = (
-            branches.withColumn("children", F.count("*").over(siblings))
-            .withColumn("total", F.sum("n").over(siblings))
-            .withColumn("o_good", F.sum("good").over(alike) - F.col("good"))
-            .withColumn("o_all", F.sum(labelled).over(alike) - labelled)
-        )
-        pooled = F.try_divide(F.col("o_good") + F.col("good"), F.col("o_all") + labelled)
-        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("o_all")) + F.try_divide(F.lit(1.0), labelled)))
-        apart = F.abs(F.try_divide(F.col("good"), labelled) - F.try_divide(F.col("o_good"), F.col("o_all")))
-        enough = (labelled >= 10) & (F.col("o_all") >= 10)
-        same = F.when(enough, apart <= z * spread).otherwise(False)
+        # Sums over siblings are aggregated and joined back: no task meets all children of a branch.
+        siblings = branches.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
+        alike = branches.groupBy("host", "template", "on").agg(F.sum("good").alias("all_good"), F.sum(labelled).alias("all_labelled"))
+        beside = branches.join(siblings, ["host", "template"]).join(alike, ["host", "template", "on"])
+        others, others_good = F.col("all_labelled") - labelled, F.col("all_good") - F.col("good")
+        pooled = F.try_divide(F.col("all_good"), F.col("all_labelled"))
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), others) + F.try_divide(F.lit(1.0), labelled)))
+        apart = F.abs(F.try_divide(F.col("good"), labelled) - F.try_divide(others_good, others))
+        same = F.when((labelled >= 10) & (others >= 10), apart <= z * spread).otherwise(False)
         renamed = (
             F.when(F.col("child").startswith("{"), F.col("child"))
             .when((F.col("children") > max_children) & (F.col("n") < rare * F.col("total")), F.lit("{*}"))
             .when(same, F.concat(F.lit("{~"), F.col("on"), F.lit("}")))
             .otherwise(F.col("child"))
         )
-        names = branches.select("host", "template", "child", renamed.alias("name"))
+        names = beside.select("host", "template", "child", renamed.alias("name"))
         tree = checkpoint(
             at.join(names, ["host", "template", "child"], "left").select(
                 "host", "shapes", "n", "good", "bad",
                 F.when(F.col("name").isNotNull(), F.concat_ws("/", "template", "name")).otherwise(F.col("template")).alias("template"),
             )
         )
-    deeper = F.when(F.size("shapes") > depth, F.lit("/{**}")).otherwise(F.lit(""))
-    return tree.withColumn("template", F.concat("template", deeper))
+    deeper = F.slice("shapes", F.lit(depth + 1), F.greatest(F.size("shapes") - depth, F.lit(0)))
+    return tree.withColumn("template", F.concat_ws("/", "template", deeper))
 
 
 def judge(
@@ -135,14 +132,14 @@ def judge(
     overall = tree.agg(F.try_divide(F.sum("good"), F.sum(F.col("good") + F.col("bad"))).alias("p")).first()["p"]
     overall = 1.0 if overall is None else overall
     purity = tree.groupBy("host", "template").agg(
-        ((F.sum("good") + prior * overall) / (F.sum(F.col("good") + F.col("bad")) + prior)).alias("purity")
+        (F.sum(F.col("good") + F.col("bad")) > 0).alias("labelled"), ((F.sum("good") + prior * overall) / (F.sum(F.col("good") + F.col("bad")) + prior)).alias("purity"),
     )
     known = checkpoint(tree.select("host", "shapes", "template").join(purity, ["host", "template"]))
-    known = known.select(F.col("host").alias("__h"), F.col("shapes").alias("__s"), "template", "purity")
+    known = known.select(F.col("host").alias("__h"), F.col("shapes").alias("__s"), "template", "purity", "labelled")
     if known.count() <= BROADCAST_TEMPLATES:
         known = F.broadcast(known)
     best = best_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("purity") < least_purity, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(F.col("labelled") & (F.col("purity") < least_purity), F.lit("block")).otherwise(F.lit("allow"))
     return (
         rows.join(known, (F.col("host") == F.col("__h")) & (F.col("shapes") == F.col("__s")), "left")
         .withColumn("b", best)
