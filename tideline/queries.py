@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import dates, textnorm
 from tideline.functions.terms import any_term
 from tideline.operators import keywords, reports, screens, state
+from tideline.plans import pipelines
 from tideline.streaming import incremental
 
 NOW = dt.datetime(2024, 1, 31)
@@ -88,6 +89,15 @@ def url_key(spark, d):
     return table(spark, d, "pages").select("page_id", textnorm.url_key(F.col("url"), PAGE_RULES).alias("key"))
 
 
+def _tagged(spark, d):
+    """Documents as tagged postings of one company."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("seniority"))
+    rows = table(spark, d, "documents").join(labels, "doc_id", "left").select(
+        "doc_id", F.lit("all").alias("company_slug"), F.col("text").alias("title"), "seniority", F.col("lang").alias("role_family")
+    )
+    return rows, spark.range(1).select(F.lit("all").alias("slug"), F.lit("All").alias("name"))
+
+
 @query(r"""
 WITH x AS (SELECT d.doc_id, d.lang, l.quality, lower(strip_accents(text)) AS t FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT reason, count(*)::BIGINT AS n FROM (
@@ -96,12 +106,7 @@ SELECT reason, count(*)::BIGINT AS n FROM (
               WHEN NOT regexp_matches(t, '(^|[^a-z0-9])(the|and|der|les)([^a-z0-9]|$)') THEN 'off_topic' END AS reason FROM x)
 GROUP BY reason""")
 def term_screen_reasons(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("seniority"))
-    rows = table(spark, d, "documents").join(labels, "doc_id", "left").select(
-        F.lit("all").alias("company_slug"), F.col("text").alias("title"), "seniority", F.col("lang").alias("role_family")
-    )
-    dim = spark.range(1).select(F.lit("all").alias("slug"), F.lit("All").alias("name"))
-    found = screens.screen_tagged(rows, dim, ("en", "de", "fr"), ("0",), ("idiot", "clown"), ("the", "and", "der", "les"))
+    found = screens.screen_tagged(*_tagged(spark, d), ("en", "de", "fr"), ("0",), ("idiot", "clown"), ("the", "and", "der", "les"))
     return found.groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -275,12 +280,16 @@ SELECT board, count(*)::BIGINT AS jobs, count(*) FILTER (WHERE reg)::BIGINT AS r
        count(*) FILTER (WHERE reg AND day >= DATE '2001-01-01')::BIGINT AS week, coalesce(any_value(keyless), 0)::BIGINT AS keyless
 FROM b LEFT JOIN k USING (key) LEFT JOIN kl USING (company_key) GROUP BY board""")
 def coverage_report(spark, d):
+    return reports.coverage(*_coverage_inputs(spark, d), dt.date(2001, 1, 1))
+
+
+def _coverage_inputs(spark, d):
     boards = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("board"), (F.col("l_suppkey") % 50).alias("company_key"), F.col("l_partkey").alias("key"),
         (F.col("l_returnflag") == "R").alias("in_region"), F.col("l_shipdate").cast("date").alias("day"),
     )
     base = table(spark, d, "part").where("p_size < 20").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey")).alias("key"), (F.col("p_partkey") % 50).alias("company_key"))
-    return reports.coverage(boards, base, dt.date(2001, 1, 1))
+    return boards, base
 
 
 @query(r"""
@@ -295,13 +304,17 @@ SELECT runs, round_even(max_s, 0)::BIGINT AS max_s, round_even(avg_s, 0)::BIGINT
   last_conclusion, last_at, repeat('#', least(floor(round_even(100.0 * used / 2000, 0) / 10), 10)::INT) || repeat('-', 10 - least(floor(round_even(100.0 * used / 2000, 0) / 10), 10)::INT) AS meter,
   CASE WHEN failures > 0 OR last_conclusion <> 'success' OR used >= 2000 THEN 'fail' WHEN 2000 - used < 300 OR round_even(max_s, 0) > 45 THEN 'warn' ELSE 'ok' END AS status FROM z""")
 def run_health(spark, d):
+    return reports.run_health(_runs(spark, d))
+
+
+def _runs(spark, d):
+    """Events as the log of a workflow's runs."""
     kind = F.col("event_type")
-    runs = table(spark, d, "events").select(
+    return table(spark, d, "events").select(
         F.col("event_id").alias("run_id"), F.when(kind.isin("view", "error"), "check").when(kind == "click", "weekly").otherwise("other").alias("name"),
         F.when(kind == "signup", "queued").otherwise("completed").alias("status"), F.when(kind == "error", "failure").otherwise("success").alias("conclusion"),
         F.col("ts").alias("updated_at"), (F.col("value") * 1000).alias("duration_ms"),
     )
-    return reports.run_health(runs)
 
 
 @query(r"""
@@ -465,6 +478,103 @@ def bank_lint(spark, d):
     return keywords.lint_bank(sections, bullets, variants, kw, ("formal", "plain"), 16)
 
 
+# --- the pipelines of tideline.plans over whole tables ---------------------------
+
+
+def _feed(spark, d):
+    """Customers as postings of a feed, with arrival order, keys that some share, groups and days."""
+    k = F.col("id")
+    return (
+        _postings(spark, d).withColumn("ord", k).withColumn("ats_key", F.when(k % 4 > 0, F.concat(F.lit("k"), k % 300)))
+        .withColumn("seed_group", F.concat(F.lit("g"), k % 5)).withColumn("date_posted", F.when(k % 7 > 0, F.date_sub(F.lit(NOW.date()), (k % 60).cast("int"))))
+        .withColumn("url", F.lit("")).withColumn("source_repo", F.lit("feeds/customers"))
+    )
+
+
+def _feed_sql(unknown: str) -> str:
+    """m: the customers that match, with their tier; ``unknown`` is what unknown sponsorship says."""
+    said = f"CASE WHEN ro THEN 'skip' WHEN f = 0 THEN 'sponsored' WHEN f = 1 THEN 'refused' WHEN listed THEN 'listed' ELSE '{unknown}' END"
+    return rf"""p(i, v) AS (VALUES (0, 'us'), (1, 'eu'), (2, 'x'), (3, 'eu'), (4, 'eu'), (5, 'us'), (6, 'x'), (7, 'eu')),
+c AS (SELECT c_custkey AS id, a.v AS a, b.v AS b, c_custkey % 5 = 0 AS ro, c_custkey % 3 AS f, c_mktsegment LIKE 'AUTO%' AS listed,
+             CASE WHEN c_custkey % 4 > 0 THEN 'k' || (c_custkey % 300) END AS key, 'g' || (c_custkey % 5) AS grp,
+             CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-31' - (c_custkey % 60)::INT END AS day
+      FROM customer JOIN p a ON a.i = c_custkey % 8 JOIN p b ON b.i = (c_custkey // 8) % 8),
+v AS (SELECT *, CASE a WHEN 'us' THEN {said} WHEN 'eu' THEN 'region' ELSE 'skip' END AS va, CASE b WHEN 'us' THEN {said} WHEN 'eu' THEN 'region' ELSE 'skip' END AS vb FROM c),
+o AS (SELECT *, CASE WHEN id % 13 = 0 THEN 'inactive' WHEN id % 11 = 0 THEN 'title' WHEN va <> 'skip' THEN va WHEN vb <> 'skip' THEN vb ELSE 'rejected' END AS outcome FROM v),
+m AS (SELECT *, CASE WHEN f = 0 THEN 'confirmed' WHEN outcome = 'region' THEN 'region' WHEN outcome = 'listed' THEN 'listed' ELSE 'unverified' END AS tier
+      FROM o WHERE outcome IN ('region', 'sponsored', 'listed', 'unverified'))"""
+
+
+FEED_SETTINGS = {"exclude_title_patterns": ("intern",), "allow_unknown": False, "max_notifications_per_run": 40}
+
+
+def _names(spark):
+    return spark.createDataFrame([("Auto",)], "name string")
+
+
+@query(rf"""WITH {_feed_sql('unverified')}, k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM m)
+SELECT id, tier, id % 9 = 0 AS is_new FROM k WHERE (key IS NULL OR n = 1) AND (day IS NULL OR day >= DATE '2024-01-01')""")
+def board_pipeline(spark, d):
+    rows = _feed(spark, d)
+    seen = rows.select("id", F.when(F.col("id") % 9 == 0, F.lit(NOW)).otherwise(F.lit(CUT)).alias("first_seen"))
+    return pipelines.board(rows, seen, REGION, FEED_SETTINGS, NOW, _names(spark), 30, 24).select("id", "tier", "is_new")
+
+
+@query(rf"""WITH {_feed_sql('unverified')}
+SELECT id, CASE tier WHEN 'confirmed' THEN 0 WHEN 'region' THEN 1 WHEN 'listed' THEN 2 ELSE 3 END AS rank,
+       (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT id FROM m))::BIGINT AS missing
+FROM m WHERE id % 2 = 0 AND day >= DATE '2024-01-10'""")
+def backlog_pipeline(spark, d):
+    rows = _feed(spark, d)
+    found, missing = pipelines.backlog(rows, rows.where("id % 2 = 0").select("id"), REGION, FEED_SETTINGS, dt.date(2024, 1, 10), _names(spark))
+    return found.select("id", "rank").join(F.broadcast(missing), F.lit(True))  # one row
+
+
+@query(rf"""WITH {_feed_sql('skip')}, s AS (SELECT id, key FROM c WHERE id % 10 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS nth FROM m WHERE id NOT IN (SELECT id FROM s) AND (key IS NULL OR key NOT IN (SELECT key FROM s WHERE key IS NOT NULL))),
+k AS (SELECT *, grp = 'g4' AS silent FROM n WHERE key IS NULL OR nth = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY silent ORDER BY day DESC NULLS LAST, id) AS place FROM k)
+SELECT id, CASE WHEN silent THEN 'silent' WHEN place <= 40 THEN 'sent' ELSE 'deferred' END AS what FROM r""")
+def incremental_pipeline(spark, d):
+    rows = _feed(spark, d)
+    seen = rows.where("id % 10 = 0").select("id", F.lit(CUT).alias("first_seen"), "company", "title", "ats_key", F.lit(False).alias("seeded"))
+    groups = rows.select("seed_group").distinct().where("seed_group <> 'g4'")
+    run = pipelines.incremental_run(rows, seen, groups, REGION, FEED_SETTINGS, NOW, _names(spark))
+    parts = [df.select("id", F.lit(name).alias("what")) for df, name in ((run.notify, "sent"), (run.deferred, "deferred"), (run.silent, "silent"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(ORACLE_SQL["run_health"].replace("SELECT runs,", f"SELECT s.tracked, s.new_week, runs,").replace("FROM z", f"""FROM z, (
+  SELECT count(*)::BIGINT AS tracked, count(*) FILTER (WHERE first_seen >= '2024-01-24' AND NOT seeded)::BIGINT AS new_week
+  FROM (SELECT event_id, min(ts) AS first_seen, event_id % 5 = 0 AS seeded FROM events GROUP BY event_id)) s"""))
+def health_pipeline(spark, d):
+    at = F.col("ts").cast("timestamp")
+    seen = table(spark, d, "events").select(F.col("event_id").alias("id"), at.alias("first_seen"), (F.col("event_id") % 5 == 0).alias("seeded"))
+    return pipelines.health(seen, _runs(spark, d), NOW)
+
+
+@query(ORACLE_SQL["coverage_report"])
+def coverage_pipeline(spark, d):
+    return pipelines.coverage_report(*_coverage_inputs(spark, d), dt.datetime(2001, 1, 8, 5))
+
+
+@query(r"""
+SELECT x.doc_id FROM (SELECT d.doc_id, d.lang, l.quality, lower(strip_accents(text)) AS t FROM documents d LEFT JOIN labels l USING (doc_id)) x
+WHERE lang IN ('en', 'de', 'fr') AND quality IS DISTINCT FROM 0 AND regexp_matches(t, '(^|[^a-z0-9])(the|and|der|les)([^a-z0-9]|$)')
+  AND NOT (quality IS NULL AND regexp_matches(t, '(^|[^a-z0-9])(senior|sr|staff|principal|lead|head|director|vp|chief|architect|manager)([^a-z0-9]|$)'))""")
+def snapshot_pipeline(spark, d):
+    """Documents as a tagged snapshot; no senior terms are given, so the default ones hold."""
+    options = {"roles": ("en", "de", "fr"), "exclude_seniority": ("0",), "require": ("the", "and", "der", "les")}
+    return pipelines.title_screened_snapshot(*_tagged(spark, d), options)[0].select("doc_id")
+
+
+@query()
+def match_pipeline(spark, d):
+    """Match percent of each document with the benchmark's variants, by whole keywords."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return pipelines.document_match(docs, _variant_words(spark, d), ("the", "der", "and", "trash"), {}, TREE)
+
+
 @query(ORACLE_SQL["incremental_split"].replace("SELECT e.ord, e.id, e.seed_group = 'signup' AS silent", "SELECT e.id, e.seed_group = 'signup' AS silent"))
 def stream_incremental(spark, d):
     """The incremental split as a stream: the day's events arrive as one micro-batch of a file source."""
