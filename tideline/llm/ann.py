@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
 An index is fitted on a bounded sample (``sample`` rows of the least hashes of their ids):
-a random rotation, list centres by k-means (the square root of the number of rows, at most
-one for 40 sampled rows), and the number of lists to probe, which grows until queries of
+a random rotation, list centres by k-means (a quarter of the square root of the number of
+rows, at most one for 40 sampled rows), and the number of lists to probe, which grows until queries of
 the sample find ``recall`` of their neighbours by the very scan below.  Every row is put in
 the list of its nearest centre.  A query is held against the rows of its probed lists: the
 rotated vectors are read in column blocks, and after each block a hypothesis test on the
@@ -36,7 +36,7 @@ BLOCK_DIMS = 16
 #: strictness of the hypothesis test: larger keeps more candidates
 EPSILON = 2.5
 #: rows of the sample that measure recall
-TESTS = 400
+TESTS = 200
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def fit(rows: DataFrame, sample: int, lists: int | None, k: int, recall: float,
     rng = np.random.default_rng(seed)
     dims = x.shape[1]
     rotation, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-    n_lists = max(1, min(lists or int(rows.count() ** 0.5), len(x) // 40))
+    n_lists = max(1, min(lists or int(rows.count() ** 0.5 / 4), len(x) // 40))
     centres = x[rng.choice(len(x), n_lists, replace=False)] if len(x) else np.zeros((1, dims))
     for _ in range(12):
         near = _square(x, centres).argmin(1)
