@@ -170,7 +170,8 @@ def _frequent(packed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _joined(table: pa.Table, column: str = "entries") -> np.ndarray:
-    return np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in table.column(column).combine_chunks()])
+    parts = [np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in table.column(column).combine_chunks()]
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
 
 
 def _read_half(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -252,15 +253,17 @@ def _mark_hot(key: tuple, sets: pa.Table, hot: pa.Table) -> pa.Table:
     shared = _joined(hot, "shared") if hot.num_rows else entries
     sids, at = np.unique(shared & U(_MANY), return_inverse=True)
     warm = dict(zip(sids.tolist(), np.bincount(at, weights=(shared >> U(32)).astype(np.float64), minlength=len(sids)).tolist()))
-    keep, masks = [], []
-    for i, (sid, elements) in enumerate(zip(sets.column("sid").to_pylist(), sets.column("elements").combine_chunks())):
-        h = np.frombuffer(elements.as_buffer(), dtype=np.uint64)
-        wanted = (((h >> U(1)) & U(_MANY)) << U(32)) | U(sid & _MANY)
-        rare = ~np.isin(wanted, entries)
-        if (~rare).sum() + warm.get(sid & _MANY, 0) >= len(h) - len(h) // 4:
-            keep.append(i)
-            masks.append(rare.astype(np.uint8).tobytes())
-    kept = sets.take(pa.array(keep, type=pa.int64()))
+    sid = sets.column("sid").to_numpy()
+    elements, sizes = _joined(sets, "elements"), sets.column("n").to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    wanted = (((elements >> U(1)) & U(_MANY)) << U(32)) | np.repeat(sid.view(np.uint64) & U(_MANY), sizes)
+    place = np.searchsorted(entries, wanted)
+    place[place == len(entries)] = 0
+    rare = entries[place] != wanted if len(entries) else np.ones(len(wanted), dtype=bool)
+    known = _sums((~rare).astype(np.int64), offsets) + np.array([warm.get(int(x) & _MANY, 0.0) for x in sid], dtype=np.float64)
+    keep = np.flatnonzero(known >= sizes - sizes // 4)
+    masks = [rare[offsets[i] : offsets[i + 1]].astype(np.uint8).tobytes() for i in keep]
+    kept = sets.take(pa.array(keep))
     return pa.table({"sid": kept["sid"], "n": kept["n"], "elements": kept["elements"], "rare": pa.array(masks, type=pa.binary())})
 
 
