@@ -151,7 +151,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kept = _kept_in_blocks(docs)
     n = kept.count()
-    width = min(60, max(1, n).bit_length() + SPARE_BITS)
+    width = max(1, min(60, n.bit_length() + SPARE_BITS))
     owners = max(shuffle_partitions(docs.sparkSession), -(-n // OWNED))
     step = -(-(1 << width) // owners)
     fp = F.shiftright(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"), 60 - width)
