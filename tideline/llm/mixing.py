@@ -7,11 +7,13 @@ cap.  A source whose target is r times its size is taken floor(r) times whole; t
 fractional repetition is a seeded prefix of its documents in the order of a keyed hash,
 followed by up to ``FILLS`` documents that close the gap best.
 
-A source is never sorted as a whole: the hash order is cut into 4,096 ranges whose sizes
-are summed, and only the range in which the prefix ends is ordered.
+A source is never sorted as a whole: the hash order is cut into 4,096 ranges, or as many
+more as keep one near ``RANGE_ROWS`` hashes, whose sizes are summed, and only the range in
+which the prefix ends is ordered.  Rows of one hash are summed first and taken together.
 
 Edge cases: null texts have size 0; a null source is a source of its own; rows that
-repeat an id in a source share a hash and are taken alike; a source without words gets
+repeat an id in a source (null ids too) share a hash and are taken alike, so that the taken
+words come as near to the target as the largest such group allows; a source without words gets
 target 0; an empty table gives an empty result; further columns pass through :func:`mix`.
 """
 
@@ -25,6 +27,7 @@ from tideline.llm.common import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 FILLS = 2
 BROADCAST_SOURCES = 20_000
+RANGE_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,9 +78,11 @@ def plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_epochs:
 
     ``sized`` has source, size and h, the order key.
     """
-    ranges = checkpoint(
-        sized.withColumn("range", F.substring("h", 1, 3)).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    )
+    sized = checkpoint(sized.groupBy("source", "h").agg(F.sum("size").alias("size")))
+    n = sized.count()
+    digits = next(d for d in range(3, 33) if n <= RANGE_ROWS * 16**d)
+    prefix = F.substring("h", 1, digits)
+    ranges = checkpoint(sized.withColumn("range", prefix).groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     sources = checkpoint(cyclic_weights(sources, weights))
     sources = water_fill(sources, F.sum("source_size") * share, max_epochs)
@@ -101,7 +106,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_epochs:
         .select("source", "c.*")
     )
     cut_range = checkpoint(cut_range)
-    inside = of_source(sized, ["range", "before", "extra"], cut_range).where(F.substring("h", 1, 3) == F.col("range"))
+    inside = of_source(sized, ["range", "before", "extra"], cut_range).where(prefix == F.col("range"))
     taken = inside.withColumn("until", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))).where(
         F.col("until") <= F.col("extra")
     )
@@ -187,10 +192,11 @@ targets AS (
   SELECT source, source_size, least(2.0 * source_size, lvl * weight)::DOUBLE AS target FROM weighed, water),
 plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
+units AS (SELECT source, h, sum(size) AS size FROM sized GROUP BY source, h),
 running AS (
   SELECT s.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS extra,
          sum(size) OVER (PARTITION BY s.source ORDER BY h) AS until
-  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
+  FROM units s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
 g0 AS (SELECT source, any_value(extra) - coalesce(sum(size) FILTER (until <= extra), 0) AS gap FROM running GROUP BY source),
 f0 AS (
   SELECT r.source, min_by(h, (abs(size - gap), h)) AS fill
@@ -204,8 +210,8 @@ f1 AS (
   SELECT r.source, min_by(h, (abs(size - gap), h)) AS fill
   FROM one r JOIN g1 ON r.source IS NOT DISTINCT FROM g1.source
   WHERE NOT is_extra AND size > 0 AND size < 2 * gap GROUP BY r.source)
-SELECT doc_id, o.source, size, source_size, target,
-       (whole + (is_extra OR coalesce(h = f1.fill, false))::INT)::BIGINT AS copies,
-       (size * (whole + (is_extra OR coalesce(h = f1.fill, false))::INT))::BIGINT AS taken
-FROM one o LEFT JOIN f1 ON o.source IS NOT DISTINCT FROM f1.source
+SELECT s.doc_id, s.source, s.size, source_size, target,
+       (whole + (is_extra OR coalesce(o.h = f1.fill, false))::INT)::BIGINT AS copies,
+       (s.size * (whole + (is_extra OR coalesce(o.h = f1.fill, false))::INT))::BIGINT AS taken
+FROM one o LEFT JOIN f1 ON o.source IS NOT DISTINCT FROM f1.source JOIN sized s ON s.h = o.h AND s.source IS NOT DISTINCT FROM o.source
 """

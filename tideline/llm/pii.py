@@ -97,8 +97,8 @@ _TITLE = rf"(?:{_ALL_TITLES})\.? "
 _HEXTET = "[0-9A-Fa-f]{1,4}"
 #: kind -> pattern (Java), in order of precedence
 PATTERNS = {
-    # From the start of a run or the end of the last entity on, so that a long run is read once; up to 126 labels before the last.
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}",
+    # From the start of a run on, so that a long run is read once; up to 126 labels before the last.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
     "iban": _iban(),
     "ipv6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEXTET}:){{7}}{_HEXTET}|(?:{_HEXTET}:){{2,6}}(?::{_HEXTET}){{1,5}}|(?:{_HEXTET}:){{2,7}}:|(?:{_HEXTET}:):{_HEXTET}(?::{_HEXTET}){{1,5}})(?![\w:]|\.\d)",
@@ -108,7 +108,8 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "name": rf"(?<!\p{{L}}){_TITLE}{_INITIALS}{_NAME}(?: {_INITIALS}{_NAME})?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: all of them; an address may also begin where the entity before it ends
+PATTERN = "|".join([rf"(?:\G{PATTERNS['email'].partition(')')[2]})", *(f"(?:{p})" for p in PATTERNS.values())])
 #: what every entity contains; most texts lack it and are not searched further
 TRIGGER = rf"[@0-9]|AKIA|gh[pousr]_|sk-|{_ALL_TITLES}"
 
