@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.commits import Commits, Files, StateError
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's ``spark.checkpoint.dir`` and cut its lineage; without a shared folder that is an error on a cluster."""
@@ -108,16 +110,26 @@ def prune(seen: DataFrame, days: int, now: dt.datetime) -> DataFrame:
 
 
 def read_state(spark, path: str, schema: str) -> DataFrame:
-    """The version the pointer names; no pointer means empty state, anything unreadable raises."""
-    pointer = f"{path}/current"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(pointer)
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    """The last version that was committed.  A path that was never written is empty state; one that holds versions but no commit raises.
+
+    State of the older layout, whose file ``current`` names the version, is read as well.
+    """
+    files = Files(spark)
+    newest = Commits(spark, path, files).newest()
+    if newest:
+        version = newest[1]["version"]
+    elif files.exists(f"{path}/current"):
+        version = spark.read.text(f"{path}/current").orderBy(F.desc("value")).first()["value"]
+    elif any(name.startswith("v=") for name, _ in files.names(path)):
+        raise StateError(f"{path} holds versions but no commit")
+    else:
         return spark.createDataFrame([], schema)
-    version = spark.read.text(pointer).orderBy(F.desc("value")).first()["value"]
     return spark.read.schema(schema).parquet(f"{path}/v={version}")
 
 
-def write_state(df: DataFrame, path: str, version: str) -> None:
-    """Write a new version, then point to it; the version being read is never overwritten."""
+def write_state(df: DataFrame, path: str, version: str, files: Files | None = None) -> None:
+    """Write a version and commit it; until the commit readers find the one before, and of two writers at once one fails."""
+    commits = Commits(df.sparkSession, path, files)
+    number = max(commits.numbers(), default=0) + 1
     df.write.mode("errorifexists").parquet(f"{path}/v={version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    commits.add(number, {"version": version})
