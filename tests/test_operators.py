@@ -23,6 +23,44 @@ def test_greedy_dedupe_equals_fold(spark):
     assert sorted(r.ord for r in state.greedy_dedupe(df, "id", "ats_key", "ord").collect()) == kept
 
 
+def _folded(rows):
+    ids, keys, kept = set(), set(), []
+    for n, i, k in rows:
+        if i not in ids and (k is None or k not in keys):
+            kept.append(n)
+            ids.add(i)
+            keys.add(k)
+    return kept
+
+
+def _rounds_of(spark, monkeypatch, rows):
+    """Kept rows, and how many rounds over open rows it took."""
+    rounds, plain = [], state._round
+    monkeypatch.setattr(state, "_round", lambda *a: rounds.append(1) or plain(*a))
+    df = spark.createDataFrame(rows, "ord int, id string, ats_key string").repartition(5)
+    return sorted(r.ord for r in state.greedy_dedupe(df, "id", "ats_key", "ord").collect()), len(rounds)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each row shares its id with the one before or its key with the one after: rounds alone would take 25,000."""
+    rows = [(n, f"i{(n + 1) // 2}", f"k{n // 2}") for n in range(100_000)]
+    assert _rounds_of(spark, monkeypatch, rows) == (_folded(rows), state.ROUNDS)
+
+
+def test_large_components_go_on_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(state, "FOLD_ROWS", 6)
+    rows = [(n, f"i{(n + 1) // 2}", f"k{n // 2}") for n in range(20)] + [(100 + n, f"x{(n + 1) // 2}", f"y{n // 2}" if n != 2 else None) for n in range(6)]
+    kept, rounds = _rounds_of(spark, monkeypatch, rows)
+    assert kept == _folded(rows) and rounds > state.ROUNDS
+
+
+def test_dedupe_of_hot_groups_and_nulls(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(n, rng.choice(["hot", None, f"i{rng.randrange(400)}"]), rng.choice([None, "warm", f"k{rng.randrange(400)}"])) for n in range(3000)]
+    kept, rounds = _rounds_of(spark, monkeypatch, rows)
+    assert kept == _folded(rows) and rounds == state.ROUNDS
+
+
 def test_prefix_semi(spark):
     df = spark.createDataFrame([("Amazon Web Services",), ("Johns Amazon",), ("The Boeing Company",), (None,)], "company string")
     names = spark.createDataFrame([("Amazon",), ("Boeing",)], "n string")

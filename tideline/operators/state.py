@@ -22,47 +22,127 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: rounds over all open rows before the rest is folded by component, and rows that one component may have to be folded in a task
+ROUNDS, FOLD_ROWS = 2, 200_000
+
+
 def greedy_dedupe(df: DataFrame, id_col: str, key_col: str, order: str) -> DataFrame:
-    """Keep a row unless an earlier *kept* row has its id or its key (null keys never clash).
+    """Keep a row unless an earlier *kept* row has its id or its key (null keys never clash); ``order`` tells rows apart.
 
-    In each round every open row that comes first both among its id and among its key is
-    kept, and rows that share an id or key with a kept one go; this equals the fold in
-    arrival order.  Rows alone in both groups skip the rounds, and null keys stay out of
-    the grouping by key.
+    This equals the fold in arrival order.  Rows alone in both groups are kept at once.  A few
+    rounds then keep every open row that comes first both among its id and among its key, and
+    drop what shares an id or key with those; that empties groups of any size.  What is left
+    are long chains: they fall into components of rows that share ids or keys, each of which is
+    folded in a task of its own.  Only a component beyond :data:`FOLD_ROWS` goes on in rounds.
     """
-    def firsts(rows: DataFrame) -> DataFrame:
-        by_id = rows.groupBy(F.col(id_col).alias("__i")).agg(F.min(order).alias("__fi"), F.count("*").alias("__ni"))
-        by_key = rows.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.min(order).alias("__fk"), F.count("*").alias("__nk"))
-        return rows.join(by_id, F.col(id_col).eqNullSafe(F.col("__i"))).drop("__i").join(by_key, key_col, "left")
-
     columns = df.columns
-    marked = firsts(df)
-    alone = (F.col("__ni") == 1) & (F.coalesce("__nk", F.lit(1)) == 1)
-    kept = [marked.where(alone).select(columns)]
-    open_rows = checkpoint(marked.where(~alone).select(columns))
-    while not open_rows.isEmpty():
-        first = (F.col("__fi") == F.col(order)) & (F.coalesce("__fk", F.col(order)) == F.col(order))
-        now = checkpoint(firsts(open_rows).where(first).select(columns))
+    alone, open_rows = _alone(df, id_col, key_col, order)
+    kept = [alone]
+    for _ in range(ROUNDS):
+        now, open_rows = _round(open_rows, id_col, key_col, order)
         kept.append(now)
-        ids, keys = now.select(F.col(id_col).alias("__i")), now.select(F.col(key_col).alias("__k")).where("__k IS NOT NULL")
-        open_rows = checkpoint(
-            open_rows.join(ids, F.col(id_col).eqNullSafe(F.col("__i")), "left_anti").join(keys, F.col(key_col) == F.col("__k"), "left_anti")
-        )
+    if not open_rows.isEmpty():
+        small, open_rows = _by_component(open_rows, id_col, key_col, order)
+        kept.append(small)
+        while not open_rows.isEmpty():
+            now, open_rows = _round(open_rows, id_col, key_col, order)
+            kept.append(now)
     out = kept[0]
     for more in kept[1:]:
         out = out.union(more)
-    return out
+    return out.select(columns)
 
 
-def unseen(df: DataFrame, seen: DataFrame, id_col: str = "id", key_col: str = "ats_key") -> DataFrame:
-    """Rows whose id and (non-null) key are not in ``seen``: two anti joins, never one with OR."""
+def _firsts(rows: DataFrame, id_col: str, key_col: str, order: str) -> DataFrame:
+    """Add of each row's id and key the first row and the count; null keys stay out of the grouping."""
+    by_id = rows.groupBy(F.col(id_col).alias("__i")).agg(F.min(order).alias("__fi"), F.count("*").alias("__ni"))
+    by_key = rows.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.min(order).alias("__fk"), F.count("*").alias("__nk"))
+    return rows.join(by_id, F.col(id_col).eqNullSafe(F.col("__i"))).drop("__i").join(by_key, key_col, "left")
+
+
+def _alone(rows: DataFrame, id_col: str, key_col: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id and key no other row has, and the rest."""
+    marked = _firsts(rows, id_col, key_col, order)
+    alone = (F.col("__ni") == 1) & (F.coalesce("__nk", F.lit(1)) == 1)
+    return marked.where(alone).select(rows.columns), checkpoint(marked.where(~alone).select(rows.columns))
+
+
+def _round(rows: DataFrame, id_col: str, key_col: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows first in both groups, and those that share nothing with them."""
+    first = (F.col("__fi") == F.col(order)) & (F.coalesce("__fk", F.col(order)) == F.col(order))
+    now = checkpoint(_firsts(rows, id_col, key_col, order).where(first).select(rows.columns))
+    ids, keys = now.select(F.col(id_col).alias("__i")), now.select(F.col(key_col).alias("__k")).where("__k IS NOT NULL")
+    left = rows.join(ids, F.col(id_col).eqNullSafe(F.col("__i")), "left_anti").join(keys, F.col(key_col) == F.col("__k"), "left_anti")
+    return now, checkpoint(left)
+
+
+def _by_component(rows: DataFrame, id_col: str, key_col: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Kept rows of the components that one task can fold, and all rows of the larger ones."""
+    columns = rows.columns
+    # Ids and keys are nodes, named by a hash (one that two share only joins their components); a row is an edge.
+    node = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
+    marked = checkpoint(rows.withColumn("__n", node("id", id_col)))
+    parts = components(marked.where(F.col(key_col).isNotNull()).select(F.col("__n").alias("a"), node("key", key_col).alias("b")))
+    named = marked.join(parts.withColumnRenamed("node", "__n"), "__n", "left").withColumn("__c", F.coalesce("component", "__n")).drop("component", "__n")
+    named = checkpoint(named)
+    large = named.groupBy("__c").agg(F.count("*").alias("__size")).where(F.col("__size") > FOLD_ROWS).select("__c")
+    light = named.join(large, "__c", "left_anti").select("__c", F.col(order).alias("o"), F.col(id_col).alias("i"), F.col(key_col).alias("k"))
+
+    def fold(part):
+        ids, keys, kept = set(), set(), []
+        for o, i, k in part.sort_values("o")[["o", "i", "k"]].astype(object).itertuples(index=False):
+            k = None if k is None or k != k else k
+            if i not in ids and (k is None or k not in keys):
+                kept.append(o)
+                ids.add(i)
+                keys.add(k)
+        return part[part["o"].isin(kept)][["o"]]
+
+    found = light.groupBy("__c").applyInPandas(fold, f"o {rows.schema[order].dataType.simpleString()}")
+    kept = checkpoint(rows.join(found.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o"), "left_semi"))
+    return kept.select(columns), checkpoint(named.join(large, "__c", "left_semi").select(columns))
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of the nodes of ``edges`` (a, b: longs): the smallest node that is connected with each.
+
+    Every round hangs nodes on the smallest neighbour of their neighbourhood, first the larger
+    neighbours of each node, then the smaller ones; the distance to the smallest node shrinks by a
+    factor each round, so chains take rounds by the logarithm of their length.
+    """
+    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    before = None
+    for _ in range(most_rounds):
+        both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        hung = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = hung.groupBy("v").agg(F.min("u").alias("m"))
+        again = hung.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        e = checkpoint(again.where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.countDistinct("v"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        # Stars that a round leaves as they are: every node hangs on one, the smallest.
+        if now[0] == now[1] and now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def unseen(df: DataFrame, seen, id_col: str = "id", key_col: str = "ats_key") -> DataFrame:
+    """Rows whose id and (non-null) key are not in ``seen``: two anti joins, never one with OR.
+
+    ``seen`` is a DataFrame, or a :class:`tideline.operators.ledger.Ledger`, which is not shuffled.
+    """
+    if not isinstance(seen, DataFrame):
+        return seen.unseen(df)
     ids = seen.select(F.col(id_col).alias("__i")).distinct()
     keys = seen.where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("__k")).distinct()
     return df.join(ids, F.col(id_col) == F.col("__i"), "left_anti").join(keys, F.col(key_col) == F.col("__k"), "left_anti")
 
 
-def split_new(df: DataFrame, seen: DataFrame, groups: DataFrame, order: str = "ord") -> DataFrame:
-    """New rows with ``silent``: rows of groups that were never fetched before are recorded without notice."""
+def split_new(df: DataFrame, seen, groups: DataFrame, order: str = "ord") -> DataFrame:
+    """New rows with ``silent``: rows of groups that were never fetched before are recorded without notice.  ``seen`` as in :func:`unseen`."""
     fresh = greedy_dedupe(unseen(df, seen), "id", "ats_key", order)
     known = groups.select(F.col(groups.columns[0]).alias("seed_group")).distinct().withColumn("known", F.lit(True))
     return fresh.join(known, "seed_group", "left").withColumn("silent", F.col("known").isNull()).drop("known")

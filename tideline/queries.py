@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tideline.functions import dates, textnorm
 from tideline.functions.terms import any_term
 from tideline.operators import keywords, reports, screens, state
+from tideline.operators.commits import Conflict
+from tideline.operators.ledger import Ledger
 from tideline.plans import pipelines
 from tideline.streaming import incremental
 
@@ -212,6 +214,38 @@ def state_prune_new_flag(spark, d):
     return flagged.join(left, "id").agg(F.count("*").alias("tracked"), F.count_if(week).alias("new_week"), F.count_if("is_new").alias("new_flagged"))
 
 
+def _new_sql(name: str, since: str, until: str, known: str) -> str:
+    """The first event of each id in a span of days whose id and key ``known`` (a query of id and key) does not hold."""
+    return f"""{name} AS (SELECT id, arg_min_null(ats_key, ord) AS ats_key, min(ord) AS ord, min_by(ts, ord) AS first_seen FROM e
+      WHERE ts >= '{since}' AND ts < '{until}' AND id NOT IN (SELECT id FROM ({known}))
+        AND (ats_key IS NULL OR ats_key NOT IN (SELECT ats_key FROM ({known}) WHERE ats_key IS NOT NULL)) GROUP BY id)"""
+
+
+_RUNS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+
+
+@query(f"""
+WITH {_EVENTS_SQL}, {_new_sql("r1", _RUNS[0], _RUNS[1], "SELECT '' AS id, '' AS ats_key")}, {_new_sql("r2", _RUNS[1], _RUNS[2], "SELECT id, ats_key FROM r1")},
+{_new_sql("r3", _RUNS[2], _RUNS[3], "SELECT id, ats_key FROM r1 UNION ALL SELECT id, ats_key FROM r2")},
+a AS (SELECT *, 1 AS version FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3)
+SELECT id, ord, version::INT AS version, first_seen >= '2024-01-11' AS kept FROM a""")
+def state_ledger(spark, d):
+    """Three runs over saved state, a late one that loses a race, and a pruning: each record with the version that has it first."""
+    events = _events(spark, d)
+    ledger = Ledger(spark, incremental.shared_folder(spark), "id string, ats_key string, ord bigint, first_seen timestamp", buckets=16)
+    runs = [events.where((F.col("at") >= since) & (F.col("at") < until)) for since, until in zip(_RUNS, _RUNS[1:], strict=False)]
+    for run in runs:
+        new = ledger.unseen(run).groupBy("id").agg(F.min_by("ats_key", "ord").alias("ats_key"), F.min("ord").alias("ord"), F.min_by("at", "ord").alias("first_seen"))
+        base = ledger.append(new)
+    try:
+        ledger.append(events.withColumn("first_seen", F.col("at")).withColumn("id", F.concat("id", F.lit(" late"))), base - 1)
+    except Conflict:
+        kept = ledger.rows(ledger.compact(20, NOW)).select("id", F.lit(True).alias("kept"))
+    rows = ledger.rows(1).withColumn("version", F.lit(1)).unionByName(ledger.rows(2).withColumn("version", F.lit(2))).unionByName(ledger.rows(3).withColumn("version", F.lit(3)))
+    first = rows.groupBy("id", "ord").agg(F.min("version").alias("version"))
+    return first.join(kept, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 def _board(spark, d):
     """All documents as board rows; their titles are whole texts."""
     labels = table(spark, d, "labels")

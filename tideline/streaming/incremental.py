@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.operators.state import split_new
 
 
-def _shared_folder(spark) -> str:
+def shared_folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir names no folder that all executors share")
@@ -41,6 +41,6 @@ def run(stream: DataFrame, shape, seen: DataFrame, groups: DataFrame, out: str,
 
 def run_once(stream: DataFrame, shape, seen: DataFrame, groups: DataFrame) -> DataFrame:
     """Process what has landed and return the new rows: id and silent."""
-    folder = _shared_folder(stream.sparkSession)
+    folder = shared_folder(stream.sparkSession)
     run(stream, shape, seen, groups, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/out").select("id", "silent")
