@@ -113,10 +113,11 @@ class Ledger:
         """
         number, listed = self.at(base)
         names = [f.name for f in self._table("ids", number, listed).schema]
-        own = rows.select(*names).dropDuplicates([self.id_col])
+        own = checkpoint(rows.select(*names).dropDuplicates([self.id_col]))
         known = self._table("ids", number, listed).select(F.col(self.id_col).alias("__seen"))
         hits = known.join(own.select(F.col(self.id_col).alias("__own")).hint("shuffle_hash"), F.col("__seen") == F.col("__own"), "left_semi")
-        return self._commit(number, listed, listed["pieces"], own.join(hits, F.col(self.id_col) == F.col("__seen"), "left_anti"))
+        new = checkpoint(own.join(hits, F.col(self.id_col) == F.col("__seen"), "left_anti"))
+        return self._commit(number, listed, listed["pieces"], new)
 
     def compact(self, days: int = 0, now: dt.datetime | None = None, base: int | None = None) -> int:
         """One piece of all records, without those first seen more than ``days`` before ``now`` (0 keeps all)."""
