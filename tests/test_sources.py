@@ -51,6 +51,37 @@ def test_boards_all_or_nothing(spark, tmp_path):
     assert got["ashby:x"].location == "Oslo | Bergen" and got["lever:ab"].date_posted == dt.date(2026, 1, 8)
 
 
+def test_missing_keys_are_told_from_nulls(spark, tmp_path):
+    """What a field says is what Python's truth of it is; a missing one counts as yes."""
+    values = [None, False, True, 0, 1, 0.0, 0.5, "", "false", [], [0], {}, {"a": None}, "0"]
+    rows = [{"company_name": f"c{i}", "title": "T", "active": v} for i, v in enumerate(values)] + [{"company_name": "none", "title": "T"}]
+    rows += [{"company_name": f"v{i}", "title": "T", "is_visible": v} for i, v in enumerate(values)]
+    (tmp_path / "l.json").write_text(json.dumps(rows))
+    got = {r.company: r.active for r in feeds.listings_json(spark, str(tmp_path / "l.json"), "f", NOW).collect()}
+    assert {c: a for c, a in got.items() if c[0] == "c"} == {f"c{i}": bool(v) for i, v in enumerate(values)} and got["none"]
+    assert {c for c in got if c[0] == "v"} == {f"v{i}" for i, v in enumerate(values) if v is not False}
+    d = tmp_path / "ashby" / "board=a"
+    d.mkdir(parents=True)
+    jobs = [{"id": f"J{i}", "title": "T", "jobUrl": "u", "isListed": v} for i, v in enumerate(values)] + [{"id": "none", "title": "T", "jobUrl": "u"}]
+    (d / "jobs.json").write_text(json.dumps({"jobs": jobs}, indent=1))
+    registry = spark.createDataFrame([("a", "A")], "board string, name string")
+    listed = {r.key: r.listed for r in feeds.ashby_jobs(spark, str(tmp_path / "ashby"), registry, NOW).collect()}
+    assert listed == {f"j{i}": bool(v) for i, v in enumerate(values)} | {"none": True}
+
+
+def test_a_job_without_categories_drops_its_board(spark, tmp_path):
+    job = {"id": "A", "text": "Ops", "categories": {"location": "Rome"}, "hostedUrl": "https://l"}
+    for board, other in (("good", {"categories": {}}), ("bare", {"categories": None}), ("less", {})):
+        d = tmp_path / "lever" / f"board={board}"
+        d.mkdir(parents=True)
+        (d / "jobs.json").write_text(json.dumps([job, {"id": "B", "text": "Dev", "hostedUrl": "https://m", **other}]))
+    registry = spark.createDataFrame([("lever", b, b) for b in ("good", "bare", "less")], "ats string, board string, name string")
+    got = feeds.boards(spark, str(tmp_path), registry, NOW).collect()
+    assert {(r.seed_group, r.ats_key, r.location) for r in got} == {("ats/lever/good", "lever:a", "Rome"), ("ats/lever/good", "lever:b", "Unspecified")}
+    jobs = feeds.lever_jobs(spark, str(tmp_path / "lever"), registry.drop("ats"), NOW)
+    assert sorted(r.board for r in feeds.quarantined_boards(jobs).collect()) == ["bare", "less"]
+
+
 def test_empty_union(spark):
     empty = spark.createDataFrame([], "id string")
     with pytest.raises(ValueError):

@@ -43,22 +43,28 @@ def _blank(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
-LISTING = (
-    "company_name string, title string, locations string, url string, company_url string, sponsorship string, date_posted string,"
-    " active boolean, is_visible boolean"
-)
+LISTING = "company_name string, title string, locations string, url string, company_url string, sponsorship string, date_posted string, active variant, is_visible variant"
+
+
+def said(field: Column, missing: bool = True) -> Column:
+    """Whether a field (a VARIANT) says yes: ``missing`` where the key is not there, no for null, false, zero and empty values."""
+    kind = F.schema_of_variant(field)
+    empty = F.to_json(field).isin("null", "false", "0", '""', "[]", "{}")
+    number = kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(field, "$", "double") == 0)
+    return F.when(field.isNull(), F.lit(missing)).otherwise(~(empty | number))
 
 
 def listings_json(spark: SparkSession, path: str, source: str, now: dt.datetime, src_ord: int = 0) -> DataFrame:
     """One array of objects a file; ``locations`` is a list or a string; hidden rows and rows without company or title go.
 
-    A file that is no JSON array fails the read; elements of the array that are no objects
-    are skipped.  A file is one value, so it has to fit in a row (2 GB).
+    A row without ``active`` is active, one where it is null or empty is not; only a false
+    ``is_visible`` hides a row.  A file that is no JSON array fails the read; elements of the
+    array that are no objects are skipped.  A file is one value, so it has to fit in a row (2 GB).
     """
     listed = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("row_ord", "element"))
     objects = raw.where(F.ltrim("element").startswith("{")).select("row_ord", F.from_json("element", f"struct<{_struct(LISTING)}>").alias("r"))
-    rows = objects.select("row_ord", "r.*").where(~_blank("company_name") & ~_blank("title") & F.coalesce("is_visible", F.lit(True)))
+    rows = objects.select("row_ord", "r.*").where(~_blank("company_name") & ~_blank("title") & (F.coalesce(F.to_json("is_visible"), F.lit("")) != "false"))
     places = F.array_join(F.from_json("locations", "array<string>"), " | ")
     place = F.when(F.col("locations").startswith("["), places).otherwise(F.col("locations"))
     flag = F.coalesce(_flag(F.col("sponsorship")), F.lit("unknown"))
@@ -67,7 +73,7 @@ def listings_json(spark: SparkSession, path: str, source: str, now: dt.datetime,
             F.col("row_ord").cast("long"), F.trim("company_name").alias("company"), F.trim("title").alias("title"),
             F.coalesce(F.nullif(place, F.lit("")), F.lit("Unspecified")).alias("location"),
             F.coalesce(F.nullif("url", F.lit("")), F.nullif("company_url", F.lit("")), F.lit("")).alias("url"),
-            flag.alias("sponsorship_flag"), coerce_date(F.col("date_posted"), now).alias("date_posted"), F.coalesce("active", F.lit(True)).alias("active"),
+            flag.alias("sponsorship_flag"), coerce_date(F.col("date_posted"), now).alias("date_posted"), said(F.col("active")).alias("active"),
         ),
         source, src_ord,
     )
@@ -191,7 +197,7 @@ def _landed(spark: SparkSession, path: str, schema: str, registry: DataFrame, jo
     A file that cannot be read as ``schema``, or lacks its list of jobs, gives one null job,
     so that the board is quarantined instead of looking empty.
     """
-    text = spark.read.option("wholetext", True).option("basePath", path).text(f"{path}/board=*")
+    text = spark.read.option("basePath", path).text(f"{path}/board=*", wholetext=True)
     parsed = text.select(F.col("board").cast("string").alias("board"), F.from_json("value", schema).alias("j")).select("board", F.col(jobs).alias("jobs"))
     listed = F.coalesce("jobs", F.array(F.get("jobs", F.lit(0))))
     own = registry.select(F.col("board").alias("b"), F.col("name").alias("company"))
@@ -207,19 +213,21 @@ def greenhouse_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt
 
 
 def ashby_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt.datetime) -> DataFrame:
-    schema = "struct<jobs: array<struct<id: string, title: string, location: string, secondaryLocations: array<struct<location: string>>, isListed: boolean, publishedAt: string, jobUrl: string>>>"
+    schema = "struct<jobs: array<struct<id: string, title: string, location: string, secondaryLocations: array<struct<location: string>>, isListed: variant, publishedAt: string, jobUrl: string>>>"
     more = F.coalesce(F.transform("x.secondaryLocations", lambda s: s["location"]), F.array().cast("array<string>"))
     return _landed(spark, path, schema, registry, "j.jobs").select(
         "board", "company", F.col("row_ord").cast("long"), F.lower("x.id").alias("key"), F.col("x.title").alias("title"), F.concat(F.array("x.location"), more).alias("places"),
-        F.col("x.jobUrl").alias("url"), coerce_date(F.col("x.publishedAt"), now).alias("day"), F.coalesce("x.isListed", F.lit(True)).alias("listed"),
+        F.col("x.jobUrl").alias("url"), coerce_date(F.col("x.publishedAt"), now).alias("day"), said(F.col("x.isListed")).alias("listed"),
     )
 
 
 def lever_jobs(spark: SparkSession, path: str, registry: DataFrame, now: dt.datetime) -> DataFrame:
     schema = "array<struct<id: string, text: string, categories: struct<location: string, allLocations: array<string>>, createdAt: bigint, hostedUrl: string>>"
+    # Without categories a job cannot be read, and neither can its board.
+    key = F.when(F.col("x.categories").isNotNull(), F.lower("x.id"))
     every = F.when(F.size("x.categories.allLocations") > 0, F.col("x.categories.allLocations")).otherwise(F.array("x.categories.location"))
     return _landed(spark, path, schema, registry, "j").select(
-        "board", "company", F.col("row_ord").cast("long"), F.lower("x.id").alias("key"), F.col("x.text").alias("title"), every.alias("places"),
+        "board", "company", F.col("row_ord").cast("long"), key.alias("key"), F.col("x.text").alias("title"), every.alias("places"),
         F.col("x.hostedUrl").alias("url"), coerce_date(F.col("x.createdAt").cast("string"), now).alias("day"), F.lit(True).alias("listed"),
     )
 
