@@ -44,21 +44,21 @@ def _rounds_of(spark, monkeypatch, rows):
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     """Each row shares its id with the one before or its key with the one after: rounds alone would take 25,000."""
     rows = [(n, f"i{(n + 1) // 2}", f"k{n // 2}") for n in range(100_000)]
-    assert _rounds_of(spark, monkeypatch, rows) == (_folded(rows), state.ROUNDS)
+    assert _rounds_of(spark, monkeypatch, rows) == (_folded(rows), 1)
 
 
 def test_large_components_go_on_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(state, "FOLD_ROWS", 6)
     rows = [(n, f"i{(n + 1) // 2}", f"k{n // 2}") for n in range(20)] + [(100 + n, f"x{(n + 1) // 2}", f"y{n // 2}" if n != 2 else None) for n in range(6)]
     kept, rounds = _rounds_of(spark, monkeypatch, rows)
-    assert kept == _folded(rows) and rounds > state.ROUNDS
+    assert kept == _folded(rows) and rounds > 2
 
 
 def test_dedupe_of_hot_groups_and_nulls(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(n, rng.choice(["hot", None, f"i{rng.randrange(400)}"]), rng.choice([None, "warm", f"k{rng.randrange(400)}"])) for n in range(3000)]
     kept, rounds = _rounds_of(spark, monkeypatch, rows)
-    assert kept == _folded(rows) and rounds == state.ROUNDS
+    assert kept == _folded(rows) and rounds < 12
 
 
 def test_prefix_semi(spark):

@@ -36,6 +36,25 @@ def test_pipe_table(spark, tmp_path):
     ]
 
 
+def test_a_table_over_many_tasks(spark, tmp_path):
+    """Headers are carried over parts of files; order and rows are those of one task."""
+    for f in range(2):
+        rows = []
+        for n in range(300):
+            if n % 97 == 0:
+                rows.append("| Company | Role | Location |" if n % 2 else "| Position | Note | Company |")
+            rows.append(f"| a{n} | b{n} | c{n} |")
+        (tmp_path / f"t{f}.md").write_text("before\n| x | y | z |\n" + "\n".join(rows) + ("\n" if f else ""))
+    read = lambda: [(r.company, r.title, r.location) for r in feeds.pipe_table(spark, str(tmp_path / "t*.md"), "s", NOW).orderBy("row_ord", "company").collect()]
+    one = read()
+    assert len(one) == 600 and one[0] == one[1] == ("c0", "a0", "Unspecified") and one[200] == ("a100", "b100", "c100")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(str(tmp_path / "t*.md")).rdd.getNumPartitions() > 8 and read() == one
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_boards_all_or_nothing(spark, tmp_path):
     job = {"id": 5, "title": "Dev", "location": {"name": "Germany (Remote) ; United States"}, "absolute_url": "https://g/5", "first_published": "2026-08-01T00:00:00-04:00"}
     lever = [{"id": "AB", "text": "Ops", "categories": {"location": "Rome", "allLocations": []}, "createdAt": 1767841111000, "hostedUrl": "https://l"}]

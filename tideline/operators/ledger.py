@@ -95,7 +95,7 @@ class Ledger:
         df.repartition(buckets, F.col(column)).write.bucketBy(buckets, column).option("path", folder).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
 
-    def _commit(self, base: int, listed: dict, pieces: list[str], rows: DataFrame) -> int:
+    def _commit(self, base: int, listed: dict, pieces: list[str], rows: DataFrame, note: dict | None = None) -> int:
         if base == 0 and not self.commits.numbers():
             # From now on a folder without commits has lost them.
             self.commits.add(0, listed)
@@ -103,13 +103,14 @@ class Ledger:
         self._write(rows, self.id_col, listed["buckets"], f"{self.path}/pieces/{piece}/ids")
         keys = rows.where(F.col(self.key_col).isNotNull()).select(self.key_col).distinct()
         self._write(keys, self.key_col, listed["buckets"], f"{self.path}/pieces/{piece}/keys")
-        self.commits.add(base + 1, {"pieces": [*pieces, piece], "buckets": listed["buckets"]})
+        self.commits.add(base + 1, {"pieces": [*pieces, piece], "buckets": listed["buckets"], "note": note or {}})
         return base + 1
 
-    def append(self, rows: DataFrame, base: int | None = None) -> int:
+    def append(self, rows: DataFrame, base: int | None = None, note: dict | None = None) -> int:
         """Record those of ``rows`` whose ids are new, and return the new version; earlier records stay.
 
         ``base`` is the version that ``rows`` were made from; if it is not the newest any more, :class:`Conflict` is raised.
+        ``note`` stays with the commit.
         """
         number, listed = self.at(base)
         names = [f.name for f in self._table("ids", number, listed).schema]
@@ -117,7 +118,7 @@ class Ledger:
         known = self._table("ids", number, listed).select(F.col(self.id_col).alias("__seen"))
         hits = known.join(own.select(F.col(self.id_col).alias("__own")).hint("shuffle_hash"), F.col("__seen") == F.col("__own"), "left_semi")
         new = checkpoint(own.join(hits, F.col(self.id_col) == F.col("__seen"), "left_anti"))
-        return self._commit(number, listed, listed["pieces"], new)
+        return self._commit(number, listed, listed["pieces"], new, note)
 
     def compact(self, days: int = 0, now: dt.datetime | None = None, base: int | None = None) -> int:
         """One piece of all records, without those first seen more than ``days`` before ``now`` (0 keeps all)."""

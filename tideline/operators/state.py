@@ -22,31 +22,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: rounds over all open rows before the rest is folded by component, and rows that one component may have to be folded in a task
-ROUNDS, FOLD_ROWS = 2, 200_000
+#: rows that one component may have to be folded in a task
+FOLD_ROWS = 200_000
 
 
 def greedy_dedupe(df: DataFrame, id_col: str, key_col: str, order: str) -> DataFrame:
     """Keep a row unless an earlier *kept* row has its id or its key (null keys never clash); ``order`` tells rows apart.
 
-    This equals the fold in arrival order.  Rows alone in both groups are kept at once.  A few
-    rounds then keep every open row that comes first both among its id and among its key, and
-    drop what shares an id or key with those; that empties groups of any size.  What is left
-    are long chains: they fall into components of rows that share ids or keys, each of which is
-    folded in a task of its own.  Only a component beyond :data:`FOLD_ROWS` goes on in rounds.
+    This equals the fold in arrival order.  Rows alone in both groups are kept at once.  A round
+    then keeps every open row that comes first both among its id and among its key, and drops
+    what shares an id or key with those; that empties groups of any size.  Rounds go on while each leaves at
+    most half of the rows.  What they would not empty are long chains: they fall into components of rows that share
+    ids or keys, each of which is folded in a task of its own.  Only a component beyond
+    :data:`FOLD_ROWS` goes on in rounds.
     """
     columns = df.columns
     alone, open_rows = _alone(df, id_col, key_col, order)
-    kept = [alone]
-    for _ in range(ROUNDS):
+    kept, n, folded = [alone], open_rows.count(), False
+    while n:
         now, open_rows = _round(open_rows, id_col, key_col, order)
         kept.append(now)
-    if not open_rows.isEmpty():
-        small, open_rows = _by_component(open_rows, id_col, key_col, order)
-        kept.append(small)
-        while not open_rows.isEmpty():
-            now, open_rows = _round(open_rows, id_col, key_col, order)
-            kept.append(now)
+        before, n = n, open_rows.count()
+        if n > before / 2 and not folded:
+            small, open_rows = _by_component(open_rows, id_col, key_col, order)
+            kept.append(small)
+            n, folded = open_rows.count(), True
     out = kept[0]
     for more in kept[1:]:
         out = out.union(more)
@@ -143,7 +143,8 @@ def unseen(df: DataFrame, seen, id_col: str = "id", key_col: str = "ats_key") ->
 
 def split_new(df: DataFrame, seen, groups: DataFrame, order: str = "ord") -> DataFrame:
     """New rows with ``silent``: rows of groups that were never fetched before are recorded without notice.  ``seen`` as in :func:`unseen`."""
-    fresh = greedy_dedupe(unseen(df, seen), "id", "ats_key", order)
+    # Few rows are new as a rule; the feed behind them is made once.
+    fresh = greedy_dedupe(checkpoint(unseen(df, seen)), "id", "ats_key", order)
     known = groups.select(F.col(groups.columns[0]).alias("seed_group")).distinct().withColumn("known", F.lit(True))
     return fresh.join(known, "seed_group", "left").withColumn("silent", F.col("known").isNull()).drop("known")
 

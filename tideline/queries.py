@@ -14,6 +14,7 @@ from tideline.operators import keywords, reports, screens, state
 from tideline.operators.commits import Conflict
 from tideline.operators.ledger import Ledger
 from tideline.plans import pipelines
+from tideline.sources import feeds
 from tideline.streaming import incremental
 
 NOW = dt.datetime(2024, 1, 31)
@@ -619,6 +620,62 @@ def stream_incremental(spark, d):
     return incremental.run_once(stream, lambda batch: _shape(batch).where(F.col("at") >= F.lit(CUT)), seen, seen.select("seed_group").distinct())
 
 
+def _landed_days(spark, d, since: dt.datetime, late: int = 0):
+    """The events from a day on as files that arrive in turn, one a day; one event in ``late`` arrives with the next day's."""
+    folder, day = incremental.shared_folder(spark), F.dayofyear("ts")
+    source = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") >= F.lit(since))
+    arrival = F.when(F.col("event_id") % late == 0, day + 1).otherwise(day) if late else day
+    landed = source.withColumn("arrival", arrival)
+    for n in [r["arrival"] for r in landed.select("arrival").distinct().orderBy("arrival").collect()]:  # days
+        landed.where(F.col("arrival") == n).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+@query(rf"WITH {_EVENTS_SQL.replace('FROM events)', 'FROM events WHERE day(ts) > 20)')} SELECT DISTINCT id, seed_group FROM e")
+def stream_watermark(spark, d):
+    """First events of each id over ten days of files, one a micro-batch, some a day late."""
+    stream, folder = _landed_days(spark, d, dt.datetime(2024, 1, 21), 50)
+    first = incremental.first_seen_stream(_shape(stream), "id", "at", "3 days")
+    query = first.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    query.start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "seed_group")
+
+
+@query(
+    ORACLE_SQL["incremental_split"].replace("'2024-01-29'", "'2024-01-27'")
+    .replace("(SELECT * FROM e WHERE ts < '2024-01-27' AND seed_group <> 'signup')", "(SELECT id, arg_min_null(ats_key, ord) AS ats_key FROM e WHERE ts < '2024-01-27' AND seed_group <> 'signup' GROUP BY id)")
+)
+def stream_ledger(spark, d):
+    """The incremental split over four days of files, one a micro-batch, against a ledger with the first record of each earlier id."""
+    since = dt.datetime(2024, 1, 27)
+    e = _events(spark, d)
+    seen = e.where(F.col("at") < F.lit(since)).where("seed_group <> 'signup'")
+    stream, folder = _landed_days(spark, d, since)
+    ledger = Ledger(spark, f"{folder}/state", "id string, ats_key string", buckets=16)
+    ledger.append(seen.groupBy("id").agg(F.min_by("ats_key", "ord").alias("ats_key")))
+    found = incremental.run_on_ledger(stream, _shape, ledger, seen.select("seed_group").distinct(), f"{folder}/out", f"{folder}/checkpoint")
+    found.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("ord", "id", "silent")
+
+
+@query(r"""
+SELECT c_name AS company, c_mktsegment AS title, CASE WHEN c_custkey <= 80 THEN 'City ' || c_nationkey ELSE 'Unspecified' END AS location,
+       'https://x.example/' || c_custkey AS url FROM customer""")
+def pipe_table_rows(spark, d):
+    """Customers as pipe tables, a file a nation, in which the header changes."""
+    c = table(spark, d, "customer")
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    link = F.concat(F.lit("[go](https://x.example/"), "c_custkey", F.lit(")"))
+    early, late = line("c_name", "c_mktsegment", F.concat(F.lit("City "), "c_nationkey"), link), line("c_mktsegment", "c_name", link)
+    rows = c.select("c_nationkey", F.col("c_custkey").alias("at"), F.when(F.col("c_custkey") <= 80, early).otherwise(late).alias("value"))
+    nations = c.select("c_nationkey").distinct()
+    heads = nations.select("c_nationkey", F.lit(-1), F.lit("| Company | Role | Location | Application |")).union(nations.select("c_nationkey", F.lit(80.5), F.lit("| Position | Company | Link |")))
+    folder = incremental.shared_folder(spark)
+    ordered = rows.withColumn("at", F.col("at").cast("double")).union(heads).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at")
+    ordered.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(f"{folder}/tables")
+    return feeds.pipe_table(spark, f"{folder}/tables/*/*.txt", "tables", NOW).select("company", "title", "location", "url")
+
+
 def _shape(events: DataFrame) -> DataFrame:
     """Events as postings: an id a user, kind and day; a key for most; arrival order is the event id."""
     at = F.col("ts").cast("timestamp")

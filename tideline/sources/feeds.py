@@ -106,6 +106,8 @@ HREF, LINK = r"""(?i)href=["'](https?://[^"']+)["']""", r"\]\((https?://[^)]+)\)
 CLOSED, SPONSOR = "🔒", "🛂"
 
 
+#: parts of files up to which their headers are broadcast
+BROADCAST_PARTS = 20_000
 #: column of a table -> what its header says
 HEADERS = {"company": ("company",), "title": ("role", "position"), "location": ("location",), "link": ("link", "application"), "date": ("date",)}
 
@@ -135,19 +137,29 @@ def pipe_table(spark: SparkSession, path: str, source: str, now: dt.datetime, sr
     A header has a cell that says ``company`` and nothing else, and one that names a role.  Rows
     before it, separators, closed postings, and rows too short for the named columns go.  A
     file without a table, or a header whose columns cannot be told apart, fails the read.
+
+    A file of any size is read by lines and may fall into several tasks: the last header of each
+    part is carried into the parts behind it, then each part names its own rows.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.trim("line")).where(F.col("line").startswith("|"))
-    if lines.isEmpty():
-        raise ValueError(f"no table in {path}")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line")
+    )
     cells = F.transform(F.split(F.btrim("line", F.lit("|")), r"\|"), lambda x: F.trim(x))
-    rows = lines.select("file", "pos", "line", cells.alias("cells"))
+    rows = lines.where(F.col("line").startswith("|")).select("file", "part", "at", "line", cells.alias("cells"))
     is_header = F.exists("cells", lambda x: F.lower(x) == "company") & F.exists("cells", lambda x: _any_in(F.lower(x), HEADERS["title"]))
     rows = rows.withColumn("own", F.when(is_header, _named_columns(F.col("cells"))))
     unclear = F.raise_error(F.concat(F.lit("no columns of company and role in "), F.col("line"))).cast(rows.schema["own"].dataType)
     rows = rows.withColumn("own", F.when(F.col("own.title") == 0, unclear).otherwise(F.col("own")))
-    upto = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("h", F.last("own", ignorenulls=True).over(upto))
+    rows = checkpoint(rows)
+    if rows.isEmpty():
+        raise ValueError(f"no table in {path}")
+    # Parts are few, and so are the rows of a file's window here.
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("file", "part").agg(F.count("*").alias("n"), F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("last"))
+    parts = checkpoint(parts.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.last("last", ignorenulls=True).over(before).alias("carried")))
+    joined = rows.join(F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts, ["file", "part"])
+    upto = Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = joined.withColumn("h", F.coalesce(F.last("own", ignorenulls=True).over(upto), "carried")).withColumn("pos", F.col("rows_before") + F.count("*").over(upto))
     rows = rows.where("own IS NULL AND h IS NOT NULL").where(~F.col("line").rlike(r"^[\s|:-]+$"))
     rows = rows.where(F.size("cells") >= F.greatest(*(F.col(f"h.{c}") for c in HEADERS)))
     cell = lambda f: F.when(F.col(f"h.{f}") > 0, F.try_element_at("cells", F.col(f"h.{f}").cast("int")))
