@@ -30,9 +30,10 @@ class Ledger:
     """Saved state in ``path``.  ``buckets`` holds for a new ledger; an old one keeps its own.
 
     Ids and keys are strings; a null id is recorded but meets nothing, nor does a null key.
+    Without ``key_col`` rows meet by id alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = SEEN, id_col: str = "id", key_col: str = "ats_key", buckets: int = 64, files: Files | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str = SEEN, id_col: str = "id", key_col: str | None = "ats_key", buckets: int = 64, files: Files | None = None) -> None:
         self.spark, self.path, self.schema, self.id_col, self.key_col, self.buckets = spark, path.rstrip("/"), schema, id_col, key_col, buckets
         self.files = files or Files(spark)
         self.commits = Commits(spark, self.path, self.files)
@@ -81,7 +82,7 @@ class Ledger:
         """
         number, listed = self.at(version)
         out = df
-        for by, column in (("ids", self.id_col), ("keys", self.key_col)):
+        for by, column in (("ids", self.id_col), *((("keys", self.key_col),) if self.key_col else ())):
             own = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__own")).distinct()
             known = self._table(by, number, listed).select(F.col(column).alias("__seen"))
             hits = known.join(own.hint("shuffle_hash"), F.col("__seen") == F.col("__own"), "left_semi").distinct()
@@ -101,8 +102,9 @@ class Ledger:
             self.commits.add(0, listed)
         piece = f"{base + 1:012d}-{uuid.uuid4().hex}"
         self._write(rows, self.id_col, listed["buckets"], f"{self.path}/pieces/{piece}/ids")
-        keys = rows.where(F.col(self.key_col).isNotNull()).select(self.key_col).distinct()
-        self._write(keys, self.key_col, listed["buckets"], f"{self.path}/pieces/{piece}/keys")
+        if self.key_col:
+            keys = rows.where(F.col(self.key_col).isNotNull()).select(self.key_col).distinct()
+            self._write(keys, self.key_col, listed["buckets"], f"{self.path}/pieces/{piece}/keys")
         self.commits.add(base + 1, {"pieces": [*pieces, piece], "buckets": listed["buckets"], "note": note or {}})
         return base + 1
 

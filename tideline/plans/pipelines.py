@@ -92,7 +92,7 @@ def title_screened_snapshot(rows: DataFrame, companies: DataFrame, options: dict
     return found.where("drop_reason IS NULL").drop("drop_reason"), found.groupBy("drop_reason").agg(F.count("*").alias("n"))
 
 
-def document_match(docs: DataFrame, variant_keywords: DataFrame, vocab, aliases: dict, taxonomy: dict) -> DataFrame:
+def document_match(docs: DataFrame, variant_keywords: DataFrame, vocab, aliases, taxonomy) -> DataFrame:
     """Match percent of each document with a bank of variants."""
     found = keywords.section_keywords(docs, vocab, aliases, taxonomy)
     return keywords.match_percent(keywords.coverage(found, variant_keywords))

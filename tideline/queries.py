@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import dates, textnorm
 from tideline.functions.terms import any_term
-from tideline.operators import keywords, reports, screens, state
+from tideline.operators import keywords, memo, reports, screens, state, vocabulary
 from tideline.operators.commits import Conflict
 from tideline.operators.ledger import Ledger
 from tideline.plans import pipelines
@@ -419,21 +419,72 @@ def taxonomy_expand(spark, d):
     return keywords.infer(_hits(spark, d), {}, TREE)
 
 
+def _words(df: DataFrame, *by: str) -> DataFrame:
+    """The distinct words of each text, as column term."""
+    found = F.array_distinct(F.regexp_extract_all(textnorm.normalize_text(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0)))
+    return df.select(*by, F.explode(found).alias("term"))
+
+
 def _variant_words(spark, d):
     """Benchmark texts as variants: the words they hold are their keywords."""
-    text = textnorm.normalize_text(F.col("text"))
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
-    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("variant_id"), F.explode(words).alias("term")).where(F.col("term").isin("the", "der"))
+    return _words(table(spark, d, "benchmark").withColumn("variant_id", F.col("item_id").cast("string")), "variant_id")
 
 
-@query(rf"""
-WITH {_HITS}, v AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS w FROM benchmark) WHERE w IN ('the', 'der')),
+def _word_weights(docs: DataFrame) -> DataFrame:
+    """Every word of every document as a keyword, the longer the heavier; the weights are such that sums of them are exact."""
+    n = F.length("term")
+    weight = F.when(n >= 9, 1.0).when(n >= 7, 0.9375).when(n >= 4, 0.75).otherwise(0.5)
+    return _words(docs, "doc").select("doc", "term", weight.alias("weight"), F.lit("exact").alias("source"))
+
+
+_MATCH = r"""k AS (SELECT doc, term, CASE WHEN length(term) >= 9 THEN 1.0 WHEN length(term) >= 7 THEN 0.9375 WHEN length(term) >= 4 THEN 0.75 ELSE 0.5 END::DOUBLE AS weight
+      FROM (SELECT DISTINCT doc, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS term FROM x)),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS term FROM benchmark),
 s AS (SELECT doc, 100 * sum(CASE WHEN v.term IS NOT NULL THEN weight ELSE 0 END) / sum(weight) AS n,
              100 * sum(CASE WHEN v.term IS NOT NULL THEN weight ELSE 0 END) FILTER (WHERE weight >= 0.9) / sum(weight) FILTER (WHERE weight >= 0.9) AS c FROM k LEFT JOIN v USING (term) GROUP BY doc),
 p AS (SELECT *, round_even(coalesce(0.6 * c + 0.4 * n, n), 0)::BIGINT AS percent FROM s)
-SELECT doc, round_even(n, 0)::BIGINT AS named, round_even(c, 0)::BIGINT AS core, percent, CASE WHEN percent >= 75 THEN 'strong' WHEN percent >= 55 THEN 'fair' ELSE 'weak' END AS band FROM p""")
+SELECT doc, round_even(n, 0)::BIGINT AS named, round_even(c, 0)::BIGINT AS core, percent, CASE WHEN percent >= 75 THEN 'strong' WHEN percent >= 55 THEN 'fair' ELSE 'weak' END AS band FROM p"""
+
+
+@query(rf"WITH x AS (SELECT doc_id AS doc, text FROM documents), {_MATCH}")
 def coverage_match(spark, d):
-    return keywords.match_percent(keywords.coverage(_hits(spark, d), _variant_words(spark, d)))
+    """Every word of the documents against every word of the benchmark's variants."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return keywords.match_percent(keywords.coverage(_word_weights(docs), _variant_words(spark, d)))
+
+
+@query(rf"WITH x AS (SELECT 'd' || doc_id AS doc, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark), {_MATCH}")
+def match_memo(spark, d):
+    """The match of documents, then of documents and benchmark texts: the second run works on texts of unknown content only."""
+    variants, texts = _variant_words(spark, d), table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
+    more = texts.union(table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id"), "text"))
+    results = memo.Memo(spark, f"{incremental.shared_folder(spark)}/memo", "named long, core long, percent long, band string")
+    work = lambda docs: keywords.match_percent(keywords.coverage(_word_weights(docs), variants))
+    results.results(memo.with_key(texts, "1"), work)
+    return results.results(memo.with_key(more, "1"), work).select("doc", "named", "core", "percent", "band")
+
+
+def _part_vocabulary(spark, d):
+    """Parts as a vocabulary: names with their brand as a spelling, and kinds that imply names."""
+    p = table(spark, d, "part")
+    bank = _variant_words(spark, d).select("term")
+    aliases = p.select(F.col("p_partkey").alias("nth"), F.col("p_name").alias("canonical"), F.concat_ws(" ", "p_brand", F.col("p_size")).alias("spelling"))
+    taxonomy = p.select(F.col("p_partkey").alias("nth"), F.col("p_type").alias("parent"), F.concat_ws(" ", "p_brand", F.col("p_size") + 1).alias("child"), F.lit(0.5).alias("factor"))
+    return bank, aliases, taxonomy
+
+
+@query(r"""
+WITH a AS (SELECT p_partkey AS nth, p_name AS canonical, p_brand || ' ' || p_size AS spelling FROM part),
+c AS (SELECT lower(s) AS k, arg_max(canonical, (nth, canonical)) AS canonical FROM (SELECT nth, canonical, spelling AS s FROM a UNION ALL SELECT nth, canonical, canonical FROM a) GROUP BY 1),
+e AS (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS term FROM benchmark UNION SELECT canonical FROM a UNION SELECT p_type FROM part UNION SELECT p_brand || ' ' || (p_size + 1) FROM part),
+t AS (SELECT DISTINCT coalesce(c.canonical, e.term) AS term FROM e LEFT JOIN c ON lower(e.term) = c.k),
+s AS (SELECT term, term AS spelling FROM t UNION SELECT term, spelling FROM t JOIN a ON term = canonical)
+SELECT term, spelling, lower(spelling) AS key, len(regexp_extract_all(spelling, '[A-Za-z0-9_+#]+|[^A-Za-z0-9_+#]'))::INTEGER AS pieces,
+       (spelling = upper(spelling) AND spelling <> lower(spelling)) OR length(spelling) <= 3 AS exact FROM s""")
+def vocabulary_spellings(spark, d):
+    """Every spelling of every canonical term of a vocabulary that stays a table throughout."""
+    bank, aliases, taxonomy = _part_vocabulary(spark, d)
+    return vocabulary.spelling_table(spark, vocabulary.vocabulary_table(spark, bank, aliases, taxonomy), aliases)
 
 
 @query(r"""
@@ -607,7 +658,8 @@ def snapshot_pipeline(spark, d):
 def match_pipeline(spark, d):
     """Match percent of each document with the benchmark's variants, by whole keywords."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return pipelines.document_match(docs, _variant_words(spark, d), ("the", "der", "and", "trash"), {}, TREE)
+    variants = _variant_words(spark, d)
+    return pipelines.document_match(docs, variants, variants.select("term"), {}, TREE)
 
 
 @query(ORACLE_SQL["incremental_split"].replace("SELECT e.ord, e.id, e.seed_group = 'signup' AS silent", "SELECT e.id, e.seed_group = 'signup' AS silent"))
