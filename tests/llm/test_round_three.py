@@ -54,3 +54,30 @@ def test_mix_of_repeated_ids(spark, ids):
     names = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
     want = con.execute(f"SELECT {', '.join(names)} FROM ({mixing.SQL})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in names)) for r in got)
+
+
+def test_long_conversations(spark):
+    """Conversations of 1, 2, 15, 16, 17 and 20,000 turns against the format written out in Python."""
+    from tideline.llm import chat
+
+    rows, wanted = [], {}
+    for conv, n in enumerate((1, 2, 15, 16, 17, 20_000)):
+        turns = [(i, ("user", "assistant", "assistant", "sys\ntem", "")[i * i % 5], f"{i} \\ <|im_sep|> {'ä𝄞x' * (i % 7)}") for i in range(n)]
+        out, spans, before = "", [], None
+        parts, at = [], 0
+        for _, role, text in turns:
+            quoted = text.replace("\\", "\\\\").replace("<|", "<\\|")
+            head = "<|im_sep|>" if role == before else ("" if before is None else "<|im_end|>\n") + "<|im_start|>" + role.replace("\n", "\\n") + "\n"
+            parts += [head, quoted]
+            at += len(head) + len(quoted)
+            if role == "assistant":
+                spans.append((at - len(quoted), at))
+            before = role
+        out = "".join(parts) + "<|im_end|>\n"
+        wanted[conv] = (out, spans, [(r, t) for _, r, t in turns], "".join(t for _, r, t in turns if r == "assistant"))
+        rows += [(conv, *t) for t in turns]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3))
+    got = {r.conv_id: (r.formatted, [tuple(s) for s in r.spans]) for r in made.collect()}
+    assert got == {c: w[:2] for c, w in wanted.items()}
+    back = {r.conv_id: ([tuple(t) for t in r.turns], r.loss_text) for r in chat.read_back(made).collect()}
+    assert back == {c: w[2:] for c, w in wanted.items()}
