@@ -60,3 +60,16 @@ def test_numbers_and_support(spark):
     texts = ["built classification models", "wrote Go", "cargo"]
     assert values(spark, texts, lambda c: keywords.supported(c, F.array(F.lit("classifier")))) == [True, False, False]
     assert values(spark, texts, lambda c: keywords.supported(c, F.array(F.lit("go")))) == [False, True, False]
+
+
+def test_decomposition_of_every_code_point(spark):
+    """Alone and inside a text, each character loses what NFKD without combining characters loses."""
+    import unicodedata
+
+    plain = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    chars = [chr(n) for n in range(0x110000) if not 0xD800 <= n <= 0xDFFF]
+    texts = ["".join(chars[i : i + 500]) for i in range(0, len(chars), 500)] + ["한국어 글자, ﬁne … ½ ㎏", "가", "힣힣", "ﷺ", "", "e\u0301ﬁ각"]
+    texts += [f"a{c}b" for c in chars[:0x3400] + [c for c in chars[0xF900:0x20000] if plain(c) != c]]
+    got = values(spark, texts, textnorm.strip_diacritics)
+    assert [(t, g) for t, g in zip(texts, got) if g != plain(t)] == []
+    assert values(spark, ["한글 Ltd", None], textnorm.normalize_text) == [plain("한글 ltd"), ""]
