@@ -57,9 +57,41 @@ def test_locations(spark):
 
 def test_numbers_and_support(spark):
     assert values(spark, ["106 and 82% of T4, 100K+ at 1:1"], keywords.numbers) == [["106", "82%", "100k+", "1:1"]]
-    texts = ["built classification models", "wrote Go", "cargo"]
-    assert values(spark, texts, lambda c: keywords.supported(c, F.array(F.lit("classifier")))) == [True, False, False]
-    assert values(spark, texts, lambda c: keywords.supported(c, F.array(F.lit("go")))) == [False, True, False]
+
+
+def test_support_equals_plain_python(spark):
+    """Whole spellings and close words, against regular expressions and pairs of words."""
+    import random
+    import re
+
+    def stem(w):
+        return next((w[: -len(e)] for e in keywords.SUFFIXES if w.endswith(e) and len(w) - len(e) >= 4), w)
+
+    def close(a, b):
+        a, b = stem(a), stem(b)
+        return a == b if min(len(a), len(b)) < 4 else a.startswith(b) or b.startswith(a)
+
+    def supported(text, spellings):
+        words = re.findall("[a-z0-9+#]+", (text or "").lower())
+        for s in [s for s in spellings or () if s is not None]:
+            if re.search(rf"(?<!\w){re.escape(s.lower())}(?!\w)", (text or "").lower()):
+                return True
+            if all(any(close(t, w) for w in words) for t in re.findall("[a-z0-9+#]+", s.lower())):
+                return True
+        return False
+
+    rng = random.Random(4)
+    parts = ["go", "Go", "cargo", "classifier", "classification", "class", "c", "c++", "C#", ".net", "asp", "naïve", "é", "日本", "data", "databases", "dat", "_x", "😀", "pre", "a", "aa", "©"]
+    text = lambda n: "".join(rng.choice(parts) + rng.choice([" ", " ", "", "-", ".", "/", "😀", "_", "é"]) for _ in range(rng.randint(0, n)))
+    cases = [("built classification models", ["classifier"]), ("wrote Go", ["go"]), ("cargo", ["go"]), (None, ["go"]), ("go", None), ("go", []), ("go", [None]), ("", ["©"]), ("xa a a", ["a a"]), ("x" * 300_000 + " end", ["ending"])]
+    cases += [(text(8), [rng.choice([text(3), None]) for _ in range(rng.randint(0, 2))]) for _ in range(1_500)]
+    cases += cases[:300]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(cases)], "id int, text string, spellings array<string>")
+    got = [r.id for r in keywords.unsupported(df).select("id").collect()]
+    assert sorted(got) == [i for i, (t, s) in enumerate(cases) if not supported(t, s)]
+    assert keywords.unsupported(df.limit(0)).columns == ["id", "text", "spellings"]
+    lacking = keywords.unsupported(df.unionAll(df).where("id = 2"))  # rows that repeat are kept
+    assert lacking.count() == 2
 
 
 def test_decomposition_of_every_code_point(spark):
