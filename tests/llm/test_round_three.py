@@ -5,11 +5,12 @@ import random
 import time
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import mixing, pii
+from tideline.llm import ann, mixing, pii
 
 N = 200_000
 UNBROKEN = {
@@ -81,3 +82,33 @@ def test_long_conversations(spark):
     assert got == {c: w[:2] for c, w in wanted.items()}
     back = {r.conv_id: ([tuple(t) for t in r.turns], r.loss_text) for r in chat.read_back(made).collect()}
     assert back == {c: w[2:] for c, w in wanted.items()}
+
+
+def test_lists_of_two_levels(spark):
+    """More lists than the sample has rows for: pairs of centres, ranked as the distances to their sums; recall holds."""
+    rng = np.random.default_rng(1)
+    index = {"centres": rng.standard_normal((6, 8)), "finer": rng.standard_normal((5, 8))}
+    q = rng.standard_normal((40, 8))
+    sums = (index["centres"][:, None] + index["finer"][None]).reshape(-1, 8)
+    assert ann.n_lists(index) == 30 and (ann.by_nearness(index, q, 4) == ((q[:, None] - sums[None]) ** 2).sum(2).argsort(1)[:, :4]).all()
+    lists = ann.lists_of(index, q)
+    assert (lists // 5 == ((q[:, None] - index["centres"]) ** 2).sum(2).argmin(1)).all() and len(set(lists)) > 6
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    fitted = ann.fit(ann.valid(e), 1_200, 300, 10, 0.97)
+    assert fitted["centres"].shape[0] == 30 and fitted["finer"].shape[0] == 10 and 1 <= fitted["probes"] <= 300
+    p = e.toPandas()
+    x, ids = np.stack(p.embedding).astype(float), p.vec_id.values
+    out = ann.search(e, F.col("vec_id") % 100 == 0, sample=1_200, lists=300).toPandas()
+    assert (out.groupby("query_id").size() == 10).all() and set(out.query_id) == set(ids[ids % 100 == 0])
+    hit = 0
+    for query, g in out.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == query][0]) ** 2).sum(1))
+        d[ids == query] = np.inf
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g.vec_id))
+    assert hit >= 0.9 * len(out)
+
+    # Queries short of neighbours go on to more lists until none is left.
+    few = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((90, 6)))], "vec_id long, embedding array<double>")
+    found = ann.search(few, F.col("vec_id") == 7, k=89, lists=8, recall=0.01).toPandas()
+    assert list(found["rank"]) == list(range(1, 90)) and found.score.is_monotonic_increasing

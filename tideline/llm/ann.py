@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
 An index is fitted on a bounded sample (``sample`` rows of the least hashes of their ids):
-a random rotation, list centres by k-means (a quarter of the square root of the number of
-rows, at most one for 40 sampled rows), and the number of lists to probe, which grows until queries of
-the sample find ``recall`` of their neighbours by the very scan below.  Every row is put in
-the list of its nearest centre.  A query is held against the rows of its probed lists: the
+a random rotation, list centres by k-means, and the number of lists to probe, which grows
+until queries of the sample find ``recall`` of their neighbours by the very scan below.  There
+are lists for a quarter of the square root of the number of rows.  Where the sample has not
+40 rows for each, every coarse list is divided by the same finer centres, fitted on what the
+coarse ones leave over; a list is then a pair of centres, and the lists go on growing with
+the table (to a square of the 500 of a full sample).  Every row is put in the list of its
+nearest centres.  A query is held against the rows of its probed lists: the
 rotated vectors are read in column blocks, and after each block a hypothesis test on the
 partial distance abandons candidates that cannot be among the nearest so far; the distances
 of those that look best then tighten the limit.  Survivors are ranked by their exact
@@ -17,7 +20,8 @@ many tasks; each gives its best k only.
 Edge cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; equal vectors tie and are ranked by id; of rows that
 repeat a query's id the least vector asks, and none is its neighbour; a query that finds
-fewer than k neighbours in its lists is held against all lists; an empty table gives an
+fewer than k neighbours in its lists is held against eight times as many, in the end against
+all; an empty table gives an
 empty result; columns beside vec_id and embedding are not read.
 """
 
@@ -54,6 +58,42 @@ def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
 
 
+def _k_means(x: np.ndarray, n: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:
+    centres = x[rng.choice(len(x), n, replace=False)]
+    for _ in range(steps):
+        near = _square(x, centres).argmin(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        count = np.bincount(near, minlength=n)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+def n_lists(index: dict) -> int:
+    return len(index["centres"]) * len(index["finer"])
+
+
+def lists_of(index: dict, x: np.ndarray) -> np.ndarray:
+    """The list of each vector: of its nearest coarse centre, and of the finer one nearest to what that leaves over."""
+    near = _square(x, index["centres"]).argmin(1)
+    if len(index["finer"]) == 1:
+        return near
+    return near * len(index["finer"]) + _square(x - index["centres"][near], index["finer"]).argmin(1)
+
+
+def by_nearness(index: dict, q: np.ndarray, probes: int) -> np.ndarray:
+    """For each vector the ``probes`` lists of the nearest pairs of centres, nearest first."""
+    centres, finer = index["centres"], index["finer"]
+    # |q - c - r|^2 without a product for each pair
+    both = 2 * centres @ finer.T + (finer * finer).sum(1)
+    found, rows = [np.zeros((0, probes), dtype=np.int64)], max(1, (1 << 22) // n_lists(index))
+    for i in range(0, len(q), rows):
+        part = q[i : i + rows]
+        apart = _square(part, centres)[:, :, None] + (both[None] - 2 * (part @ finer.T)[:, None, :])
+        found.append(apart.reshape(len(part), -1).argsort(1, kind="stable")[:, :probes])
+    return np.concatenate(found)
+
+
 def fit(rows: DataFrame, sample: int, lists: int | None, k: int, recall: float, seed: int = 11) -> dict:
     """Rotation, centres and number of probes from a sample of at most ``sample`` rows."""
     taken = hash_sample(rows, "vec_id", sample, seed).select("vec_id", "v").toArrow()
@@ -61,15 +101,15 @@ def fit(rows: DataFrame, sample: int, lists: int | None, k: int, recall: float,
     rng = np.random.default_rng(seed)
     dims = x.shape[1]
     rotation, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-    n_lists = max(1, min(lists or int(rows.count() ** 0.5 / 4), len(x) // 40))
-    centres = x[rng.choice(len(x), n_lists, replace=False)] if len(x) else np.zeros((1, dims))
-    for _ in range(12):
-        near = _square(x, centres).argmin(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        count = np.bincount(near, minlength=n_lists)
-        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
-    index = {"rotation": rotation, "centres": centres, "probes": n_lists, "dims": dims}
+    wanted, most = lists or int(rows.count() ** 0.5 / 4), max(1, len(x) // 40)
+    coarse = max(1, min(wanted, most))
+    centres = _k_means(x, coarse, rng) if len(x) else np.zeros((1, dims))
+    finer = np.zeros((1, dims))
+    if len(x) and wanted > coarse:
+        finer = _k_means(x - centres[_square(x, centres).argmin(1)], min(-(-wanted // coarse), most), rng)
+    index = {"rotation": rotation, "centres": centres, "finer": finer, "dims": dims}
+    every = n_lists(index)
+    index["probes"] = every
     if len(x) <= k + 1:
         return index
     # Neighbours of some sampled rows, themselves left out, and in which of their lists by nearness they lie.
@@ -77,14 +117,14 @@ def fit(rows: DataFrame, sample: int, lists: int | None, k: int, recall: float,
     apart = _square(x[at], x)
     apart[np.arange(len(at)), at] = np.inf
     truth = np.argpartition(apart, k - 1, axis=1)[:, :k]
-    near = _square(x, centres).argmin(1)
-    order = _square(x[at], centres).argsort(1)
+    near = lists_of(index, x)
+    order = by_nearness(index, x[at], every)
     rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n_lists), order.shape), axis=1)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(every), order.shape), axis=1)
     needed = np.take_along_axis(rank, near[truth], axis=1)
-    probes = next((p for p in range(1, n_lists + 1) if (needed < p).mean() >= recall), n_lists)
+    probes = next((p for p in range(1, every + 1) if (needed < p).mean() >= recall), every)
     turned = x @ rotation
-    while probes < n_lists:
+    while probes < every:
         hit = 0
         for j, i in enumerate(at):
             there = np.flatnonzero(rank[j][near] < probes)
@@ -93,24 +133,22 @@ def fit(rows: DataFrame, sample: int, lists: int | None, k: int, recall: float,
         if hit >= recall * truth.size:
             break
         probes += max(1, probes // 4)
-    return index | {"probes": min(probes, n_lists)}
+    return index | {"probes": min(probes, every)}
 
 
 def _assign(index: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _square(_matrix(batch.column(1)), index["centres"]).argmin(1)
+            near = lists_of(index, _matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
 
     return run
 
 
-def _probe(index: dict, everywhere: bool):
+def _probe(index: dict, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_lists = len(index["centres"])
-        probes = n_lists if everywhere else index["probes"]
         for batch in batches:
-            order = _square(_matrix(batch.column(1)), index["centres"]).argsort(1, kind="stable")[:, :probes]
+            order = by_nearness(index, _matrix(batch.column(1)), probes)
             rows = np.repeat(np.arange(len(batch)), probes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(order.ravel().astype(np.int32))],
@@ -180,8 +218,8 @@ def search(
     queries = checkpoint(placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     n_rows = placed.count()
 
-    def run(asked: DataFrame, everywhere: bool) -> DataFrame:
-        probing = checkpoint(asked.mapInArrow(_probe(index, everywhere), "vec_id long, v array<double>, list int"))
+    def run(asked: DataFrame, probes: int) -> DataFrame:
+        probing = checkpoint(asked.mapInArrow(_probe(index, probes), "vec_id long, v array<double>, list int"))
         parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
         # A row goes to as many blocks as there are of queries that probe its list.
         sizes = placed.groupBy("list").agg(F.count("*").alias("rows")).join(probing.groupBy("list").agg(F.count("*").alias("asked")), "list")
@@ -195,11 +233,14 @@ def search(
         best = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = checkpoint(run(queries, False))
-    wanted = min(k, n_rows - 1)
-    full = found.groupBy("query_id").count().where(F.col("count") >= wanted).select(F.col("query_id").alias("vec_id"))
-    short = checkpoint(queries.join(full, "vec_id", "left_anti"))
-    if index["probes"] == len(index["centres"]) or short.isEmpty():
-        return found
-    again = run(short, True)
-    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(again)
+    wanted, probes = min(k, n_rows - 1), index["probes"]
+    found = checkpoint(run(queries, probes))
+    while probes < n_lists(index):
+        full = found.groupBy("query_id").count().where(F.col("count") >= wanted).select(F.col("query_id").alias("vec_id"))
+        short = checkpoint(queries.join(full, "vec_id", "left_anti"))
+        if short.isEmpty():
+            break
+        probes = min(8 * probes, n_lists(index))
+        again = run(short, probes)
+        found = checkpoint(found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(again))
+    return found
