@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, mixing, pii
+from tideline.llm import ann, licenses, mixing, pii
 
 N = 200_000
 UNBROKEN = {
@@ -112,3 +112,60 @@ def test_lists_of_two_levels(spark):
     few = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((90, 6)))], "vec_id long, embedding array<double>")
     found = ann.search(few, F.col("vec_id") == 7, k=89, lists=8, recall=0.01).toPandas()
     assert list(found["rank"]) == list(range(1, 90)) and found.score.is_monotonic_increasing
+
+
+#: wordings in no template; written after the names were, and not changed since
+HELD_OUT = (
+    ("apache-2.0", "The tools come under the Apache License, Version 2.0, as do the examples."),
+    ("apache-2.0", "We publish our work under the terms of the Apache License 2.0 and welcome changes."),
+    ("apache-2.0", "See the Apache License, Version 2.0, for the specific language governing permissions and limitations."),
+    ("mit", "Use it as you like: MIT License."),
+    ("mit", "The site and its scripts are covered by the MIT License (see below)."),
+    ("mit", "Subject to the MIT licence, copies may be sold."),
+    ("gpl-3.0", "The program comes with the GNU General Public License, version 3, and without warranty."),
+    ("gpl-3.0", "You may copy it under GNU GPL version 3 or later."),
+    ("gpl-3.0", "A copy of the GNU General Public License should have come along with this program."),
+    ("bsd", "The parser is offered under the 3-Clause BSD License."),
+    ("bsd", "Neither the name of the holder nor the names of contributors may be used to endorse products."),
+    ("bsd", "This is software under a BSD License with three clauses."),
+    ("cc-by-nc-4.0", "Photographs by the museum, CC BY-NC 4.0, not for sale."),
+    ("cc-by-nc-4.0", "Reuse under Creative Commons Attribution-NonCommercial 4.0 only."),
+    ("cc-by-4.0", "Data of the survey: CC BY 4.0, please cite."),
+    ("cc-by-4.0", "Published as open access under Creative Commons Attribution 4.0."),
+    ("proprietary", "2021 The Press. All rights reserved, including translation."),
+    ("proprietary", "Nothing here may be copied without the written permission of the owner."),
+    ("", "Version 3 of the general plan was made public under the new law."),
+    ("", "The rights of all readers are reserved to the library."),
+    ("", "A driver's license is free of charge for the public."),
+    ("", "The old common house met the conditions of the city without warranty."),
+    ("", "4.0 of the creative works were by the author."),
+    ("", "The permission notice is in the source of the river."),
+)
+
+
+def test_licences_in_held_out_wordings(spark):
+    """Wordings unlike the templates', alone and inside documents; probabilities mean what they say."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = licenses.train(docs)
+    rows = [(i, t) for i, (_, t) in enumerate(HELD_OUT)] + [(100 + i, f"A note.\n\n{t}\n\nmore of it") for i, (_, t) in enumerate(HELD_OUT)]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    for base in (0, 100):
+        hit = sum(got[base + i] == [f] for i, (f, _) in enumerate(HELD_OUT) if f)
+        assert hit >= 0.55 * sum(bool(f) for f, _ in HELD_OUT)
+        assert not any(got[base + i] for i, (f, _) in enumerate(HELD_OUT) if not f)
+        assert all(got[base + i] in ([], [f]) for i, (f, _) in enumerate(HELD_OUT) if f)
+
+    # Reliability over variants amid lines of documents that the model has not seen, and over such lines.
+    rng = np.random.default_rng(8)
+    lines = [r.text.split("\n")[0][:2_000] for r in docs.where("text IS NOT NULL AND doc_id % 5 = 3").orderBy("doc_id").select("text").limit(1_500).collect()]
+    lines = [t for t in lines if t.strip() and max(licenses.similarity(t, f) for f in licenses.TEMPLATES) < 0.6]
+    texts, y = licenses._variants(rng, 6)
+    texts, y = licenses._amid(rng, texts, lines) + lines, np.array(y + [len(licenses.FAMILIES) - 1] * len(lines))
+    p = np.zeros((len(texts), len(licenses.FAMILIES)))
+    p[:, -1] = 1  # fewer than two words of any template
+    at, scored = model.predict(next(licenses.blocks(pa.array(texts), most_bytes=1 << 40)))
+    p[at] = scored
+    sure, right = p.max(1), p.argmax(1) == y
+    bins = np.digitize(sure, [0.5, 0.6, 0.7, 0.8, 0.9])
+    off = sum(abs(sure[bins == b].sum() - right[bins == b].sum()) for b in range(6)) / len(y)
+    assert off <= 0.05 and right[y < len(licenses.FAMILIES) - 1].mean() >= 0.9

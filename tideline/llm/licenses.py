@@ -4,13 +4,14 @@ A paragraph is a line, or a run of lines between blank ones, so that a notice is
 one line among others and wrapped over several.  Its features are word n-grams (one to
 three words, case folded, by hash); a multinomial logistic regression tells licence
 families from an unknown class.  It is trained here: on variants of the families'
-templates (words dropped, ends cut) and on one line each of a bounded sample of the
+templates (words dropped, ends cut), on their names and variants amid words of unknown
+lines, so that wordings other than the templates' are told too, and on one line each of a bounded sample of the
 corpus (``sample`` documents, ``line_chars`` characters a line) as unknown, those that
 resemble a template left out.  Half of the training rows only calibrate: one temperature
 scales the scores so that probabilities mean what they say, and a family counts only
 above ``least``.  A prediction is confirmed if the paragraph's word pairs overlap a
 template of the family enough (Dice coefficient over word pairs, or containment of the
-whole template).
+whole template or of a name of the licence).
 
 Only n-grams of templates have weights, so paragraphs with fewer than two words of any
 template are unknown without being scored.  Texts of all documents are scanned whole.
@@ -77,6 +78,16 @@ TEMPLATES = {
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),
 }
+# Names by which notices refer to a licence; each has two words or more.
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "mit": ("MIT License", "MIT Licence"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU GPL version 3", "GPL version 3", "GNU GPL v3"),
+    "bsd": ("BSD 3-Clause License", "3-Clause BSD License", "BSD License"),
+    "cc-by-nc-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    "cc-by-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "proprietary": ("All rights reserved",),
+}
 FAMILIES = (*TEMPLATES, "unknown")
 
 
@@ -126,8 +137,9 @@ def _pairs(line: str) -> set[tuple[str, str]]:
 
 
 def similarity(line: str, family: str) -> float:
-    """How well a line matches the family's best template: Dice over word pairs, or containment of the template."""
-    own, best = _pairs(line), 0.0
+    """How well a line matches the family's best template: Dice over word pairs, or containment of the template or of a name."""
+    own = _pairs(line)
+    best = 0.999 * any(_pairs(name) <= own for name in NAMES.get(family, ()))
     for template in TEMPLATES.get(family, ()):
         theirs = _pairs(template)
         common = len(own & theirs)
@@ -145,9 +157,19 @@ def _variants(rng: np.random.Generator, per_template: int) -> tuple[list[str], l
                 cut = int(rng.integers(0, max(1, len(kept) // 4) + 1)) if k % 3 == 2 else 0
                 texts.append(" ".join(kept[: len(kept) - cut] or words))
                 y.append(i)
+        for name in NAMES[family]:
+            texts += [name] * per_template
+            y += [i] * per_template
     return texts, y
 
 
+def _amid(rng: np.random.Generator, texts: list[str], others: list[str]) -> list[str]:
+    """Each text amid up to eight words before and behind it, of lines drawn from ``others``."""
+    words = [t.split() for t in others] or [[]]
+    some = lambda: " ".join(words[rng.integers(len(words))][: rng.integers(9)])
+    return [f"{some()} {t} {some()}".strip() for t in texts]
+
+
 class Classifier:
     """Weights over n-gram buckets, calibrated."""
 
@@ -156,11 +178,12 @@ class Classifier:
         texts, y = _variants(rng, per_template)
         resembles = lambda t: max(similarity(t, f) for f in TEMPLATES) >= 0.3
         others = [t for t in unknown if t.strip() and not resembles(t)]
-        texts += others
-        y = np.array(y + [len(FAMILIES) - 1] * len(others))
+        own = next(blocks(pa.array(texts), most_bytes=1 << 40))
+        self.seen = np.unique(_grams(own)[1])
+        texts += _amid(rng, texts, others) + others
+        y = np.array(y + y + [len(FAMILIES) - 1] * len(others))
         block = next(blocks(pa.array(texts), most_bytes=1 << 40))
         rows, hashes = _grams(block)
-        self.seen = np.unique(hashes[y[rows] < len(FAMILIES) - 1])
         self.filter = np.zeros(FILTER, dtype=bool)
         self.filter[self.seen % np.uint64(FILTER)] = True
         hit, at = self.look_up(hashes)
