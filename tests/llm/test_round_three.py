@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, licenses, mixing, pii
+from tideline.llm import ann, licenses, mixing, pii, toxicity
 
 N = 200_000
 UNBROKEN = {
@@ -169,3 +169,21 @@ def test_licences_in_held_out_wordings(spark):
     bins = np.digitize(sure, [0.5, 0.6, 0.7, 0.8, 0.9])
     off = sum(abs(sure[bins == b].sum() - right[bins == b].sum()) for b in range(6)) / len(y)
     assert off <= 0.05 and right[y < len(licenses.FAMILIES) - 1].mean() >= 0.9
+
+
+def test_chain_from_telling_words_equals_the_chain_from_all(spark):
+    """The words that stay on the executors are those that no model keeps."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    named = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.when(F.col("doc_id") % 7 > 0, F.col("toxic")).alias("toxic"))
+    chain = toxicity.train(docs, named, ("low_quality", "toxic"))
+    order = toxicity.hash_sample(named.select("doc_id"), "doc_id", 6_000, 5).select("doc_id", "o")
+    rows = docs.join(named, "doc_id").join(order, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in ("o", "low_quality", "toxic"))).orderBy("o", "doc_id").toPandas()
+    block = next(toxicity.blocks(pa.array(rows.text), letters_only=True, most_bytes=1 << 40))
+    doc, bucket = toxicity.features(block)
+    y = rows[["low_quality", "toxic"]].to_numpy(dtype=float)
+    assert np.isnan(y[:, 1]).any()
+    for got, wanted in zip(chain, toxicity.fit_chain(doc, bucket, y, toxicity.folds(toxicity._marks(block)))):
+        assert list(got.words) == list(wanted.words) and len(got.words) and got.cut == wanted.cut
+        assert np.array_equal(got.weights, wanted.weights) and np.array_equal(got.rest, wanted.rest)
+    none = toxicity.train(docs, named.limit(0), ("low_quality", "toxic"))
+    assert [len(m.words) for m in none] == [0, 0]

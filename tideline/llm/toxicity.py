@@ -10,7 +10,9 @@ which a text counts as one of it, are those of the best F1 over the out-of-fold
 among the cuts of enough precision; near copies lie in one fold, so that no model is
 judged on a text it knows.
 
-The fit uses at most ``sample`` labelled rows, in the order of a hash of their ids; every
+The fit uses at most ``sample`` labelled rows, in the order of a hash of their ids.  Words are
+counted by class and fold in one aggregation, and only those that some model of the chain
+will keep go to the driver, so long texts of neutral words cost it nothing.  Every
 document is scored by one pass over its whole text.
 
 Edge cases: a null or empty text has no words and gets the chain's base rate; a
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import hash_sample
+from tideline.llm.common import checkpoint, hash_sample
 from tideline.llm.textops import Block, blocks, mix
 
 DIMS = 1 << 18
@@ -36,6 +38,8 @@ FOLDS = 5
 RIDGES = (2e-3, 1e-4)
 #: a cut whose out-of-fold precision is lower is not taken
 LEAST_PRECISION = 0.95
+#: a word differs between classes from this statistic on, and if at least so many texts hold it
+LEAST_CHI2, LEAST_TEXTS = 12.0, 3
 #: least shingle hashes by which near copies among the labelled texts are found
 MARKS = 8
 
@@ -129,7 +133,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, dense: np.ndarray
 class Model:
     """One category: kept words, their weights, weights of earlier log-odds, bias, and the log-odds ``cut``."""
 
-    def __init__(self, rows, cols, earlier, y, ridge: float, cut: float = 0.0, least_chi2: float = 12.0) -> None:
+    def __init__(self, rows, cols, earlier, y, ridge: float, cut: float = 0.0) -> None:
         self.cut = cut
         if not y.any():  # nothing to learn from: never predicted
             self.words, self.weights = np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -141,7 +145,7 @@ class Model:
         q = n - p
         with np.errstate(divide="ignore", invalid="ignore"):
             chi2 = n * (pos * (q - (all_ - pos)) - (all_ - pos) * (p - pos)) ** 2.0 / (p * q * all_ * (n - all_.astype(float)))
-        self.words = np.flatnonzero((np.nan_to_num(chi2) >= least_chi2) & (all_ >= 3))
+        self.words = np.flatnonzero((np.nan_to_num(chi2) >= LEAST_CHI2) & (all_ >= LEAST_TEXTS))
         at = np.searchsorted(self.words, cols)
         hit = (at < len(self.words)) & (self.words[np.minimum(at, max(0, len(self.words) - 1))] == cols) if len(self.words) else np.zeros(len(cols), bool)
         w = _logistic(rows[hit], at[hit], len(self.words), earlier, y, ridge)
@@ -198,19 +202,53 @@ def _score(chain: list[Model], names: Sequence[str]):
     return run
 
 
+def telling_words(words: DataFrame, categories: Sequence[str], labels: np.ndarray, fold: np.ndarray) -> DataFrame:
+    """Column word: each that differs between the classes of some category in all folds, or in all but one.
+
+    ``words`` has a row for each word of a text (word, fold, and the ``categories``);
+    ``labels`` and ``fold`` are those of the texts.
+    """
+    held = range(FOLDS)
+    counts = []
+    for c in categories:
+        counts += [F.count_if(F.col(c).isNotNull() & (F.col("fold") == f)).alias(f"{c}_all_{f}") for f in held]
+        counts += [F.count_if((F.col(c) == 1) & (F.col("fold") == f)).alias(f"{c}_pos_{f}") for f in held]
+    differs = F.lit(False)
+    for i, c in enumerate(categories):
+        for left_out in (None, *held):
+            y = labels[~np.isnan(labels[:, i]) & (fold != (-1 if left_out is None else left_out)), i]
+            n, p = float(len(y)), float(y.sum())
+            if not 0 < p < n:
+                continue
+            total = lambda kind: sum((F.col(f"{c}_{kind}_{f}") for f in held if f != left_out), F.lit(0.0))
+            every, pos = total("all"), total("pos")
+            gap = pos * (F.lit(n - p) - (every - pos)) - (every - pos) * (F.lit(p) - pos)
+            # The models apply the same limit again; the slack is for rounding.
+            enough = F.lit(n) * gap * gap >= (LEAST_CHI2 * (1 - 1e-9) * p * (n - p)) * every * (F.lit(n) - every)
+            differs = differs | ((every >= LEAST_TEXTS) & enough)
+    return words.groupBy("word").agg(*counts).where(differs).select("word")
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = 6_000, seed: int = 5) -> list[Model]:
     """A chain over ``categories``, columns of ``labels`` (doc_id, 0 or 1 each), from at most ``sample`` labelled documents."""
+    kind = dict(docs.dtypes)["doc_id"]
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in categories))
     chosen = hash_sample(known, "doc_id", sample, seed)
     # At most ``sample`` documents; of rows that repeat an id the least text counts.
     rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in ("o", *categories)))
-    schema = "words array<int>, marks array<long>, o long, " + ", ".join(f"{c} double" for c in categories)
-    found = rows.select("text", "o", *categories).mapInArrow(_feature_rows, schema).orderBy("o").toArrow()
-    words = found.column("words").combine_chunks()
-    lengths = np.array([len(x) for x in words], dtype=np.int64)
-    cols = words.flatten().to_numpy().astype(np.int64)
-    y = np.stack([found.column(c).to_numpy() for c in categories], axis=1) if len(lengths) else np.zeros((0, len(categories)))
-    return fit_chain(np.repeat(np.arange(len(lengths)), lengths), cols, y.astype(float), folds(found.column("marks").to_pylist()))
+    schema = f"words array<int>, marks array<long>, doc_id {kind}, o long, " + ", ".join(f"{c} double" for c in categories)
+    rows = checkpoint(rows.select("text", "doc_id", "o", *categories).mapInArrow(_feature_rows, schema))
+    found = rows.drop("words").orderBy("o", "doc_id").toArrow()
+    n = found.num_rows
+    if not n:
+        return fit_chain(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, len(categories))), np.zeros(0, dtype=np.int64))
+    y = np.stack([found.column(c).to_numpy() for c in categories], axis=1).astype(float)
+    fold = folds(found.column("marks").to_pylist())
+    dealt = docs.sparkSession.createDataFrame(pa.table({"doc_id": found.column("doc_id"), "at": pa.array(np.arange(n)), "fold": pa.array(fold)}))
+    words = rows.join(F.broadcast(dealt), "doc_id").select("at", "fold", *categories, F.explode("words").alias("word"))  # a row a text is broadcast
+    telling = telling_words(words, categories, y, fold)
+    pairs = words.join(F.broadcast(telling), "word").select("at", "word").orderBy("at", "word").toArrow()  # at most DIMS words are broadcast
+    return fit_chain(pairs.column("at").to_numpy(), pairs.column("word").to_numpy().astype(np.int64), y, fold)
 
 
 def score(docs: DataFrame, chain: list[Model], categories: Sequence[str]) -> DataFrame:
