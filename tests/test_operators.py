@@ -205,3 +205,45 @@ def test_health_row(spark):
     assert (row.tracked, row.new_week, row.runs, row.used, row.failures, row.status, row.max_s) == (3, 1, 6, 12, 0, "warn", 61)
     groups = spark.createDataFrame([("a",)], "seed_group string")
     assert not state.groups_changed(groups, groups) and state.groups_changed(groups.limit(0), groups)
+
+
+def test_long_clauses(spark):
+    """Hits of a clause of many blocks, by brute force; no row carries the clause, lines without hits are not moved."""
+    words = [("go", "Go", "x", "deep learning", "C++", "a")[i * i % 11 % 6] for i in range(3000)]
+    text = "Skills\n" + " ".join(words) + "\nnothing of this kind in a line of more than eight words"
+    docs = spark.createDataFrame([(1, text)], "doc int, text string")
+    known = keywords.Spellings(keywords.spelling_table(spark, ["Go", "ML", "C++"], {"ML": ["deep learning", "deep"]}))
+    cut = keywords.clauses(docs, pattern=known.pattern())
+    assert [r.clause[:6] for r in cut.orderBy("clause_no").collect()] == ["Skills", " ".join(words)[:6]]
+    hits = keywords.exact_hits(cut, known)
+    assert "clause" not in hits.columns and hits.selectExpr("max(length(snippet))").first()[0] <= 80 + len("deep learning")
+    counts = {r.term: r["count"] for r in hits.groupBy("term").count().collect()}
+    assert counts == {t: n for t, n in (("Go", words.count("Go")), ("ML", words.count("deep learning")), ("C++", words.count("C++"))) if n}
+    line = " ".join(words)
+    at = line.index("deep learning")
+    best = hits.where("term = 'ML'").orderBy("at").first()
+    assert best.snippet == line[max(at - 40, 0) : at + len("deep learning") + 40].strip()
+
+
+def test_counted_bonus(spark):
+    import itertools
+
+    every = [tuple(c) for c in itertools.product((0, 1, 2, 7), repeat=len(keywords.WEIGHTS))]
+    df = spark.createDataFrame(every, ", ".join(f"n{i} long" for i in range(len(keywords.WEIGHTS))))
+    listed = F.flatten(F.array(*(F.array_repeat(F.lit(w), F.col(f"n{i}").cast("int")) for i, w in enumerate(keywords.WEIGHTS))))
+    counted = keywords.counted_bonus([(w, F.col(f"n{i}")) for i, w in enumerate(keywords.WEIGHTS)])
+    assert df.where(F.bround(keywords.bonus(listed), 3) != counted).isEmpty()
+
+
+def test_match_moves_no_lists(spark):
+    """The match is that of all keywords with the lists of variants, but no list, evidence or inferred term is made for it."""
+    from tideline.plans import pipelines
+
+    docs = spark.createDataFrame([(1, "the trash and the les"), (2, "der les"), (3, "none")], "doc int, text string")
+    variants = spark.createDataFrame([("v1", "the"), ("v2", "the"), ("v2", "der"), ("v3", "trash")], "variant_id string, term string")
+    vocab, tree = ["the", "der", "and", "trash", "les"], {"the": {"implies": ["der", "article"]}}
+    made = pipelines.document_match(docs, variants, vocab, {}, tree)
+    # the: 0.7 + 0.3 * 0.7, trash: 0.7 of 0.91 + 3 * 0.7
+    assert sorted(map(tuple, made.collect())) == [(1, 53, None, 53, "weak"), (2, 50, None, 50, "weak")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and "min_by" not in plan

@@ -93,6 +93,9 @@ def title_screened_snapshot(rows: DataFrame, companies: DataFrame, options: dict
 
 
 def document_match(docs: DataFrame, variant_keywords: DataFrame, vocab, aliases, taxonomy) -> DataFrame:
-    """Match percent of each document with a bank of variants."""
-    found = keywords.section_keywords(docs, vocab, aliases, taxonomy)
-    return keywords.match_percent(keywords.coverage(found, variant_keywords))
+    """Match percent of each document with a bank of variants.
+
+    Only terms that a document names count, so what ``taxonomy`` infers beside them, and their evidence, is not made.
+    """
+    found = keywords.exact_keywords(docs, vocab, aliases, evidence=False)
+    return keywords.match_percent(keywords.covers(found, variant_keywords))
