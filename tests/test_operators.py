@@ -243,7 +243,7 @@ def test_match_moves_no_lists(spark):
     variants = spark.createDataFrame([("v1", "the"), ("v2", "the"), ("v2", "der"), ("v3", "trash")], "variant_id string, term string")
     vocab, tree = ["the", "der", "and", "trash", "les"], {"the": {"implies": ["der", "article"]}}
     made = pipelines.document_match(docs, variants, vocab, {}, tree)
-    # the: 0.7 + 0.3 * 0.7, trash: 0.7 of 0.91 + 3 * 0.7
-    assert sorted(map(tuple, made.collect())) == [(1, 53, None, 53, "weak"), (2, 50, None, 50, "weak")]
+    # the weighs 0.91 and so is core, the others 0.7: 1.61 of 3.01, then 0.6 * 100 + 0.4 * 53.5
+    assert sorted(map(tuple, made.collect())) == [(1, 53, 100, 81, "strong"), (2, 50, None, 50, "weak")]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_" not in plan and "min_by" not in plan
