@@ -18,6 +18,9 @@ from tideline.functions.textnorm import content_key
 from tideline.operators.ledger import Ledger
 from tideline.operators.state import checkpoint
 
+#: up to so many unknown documents are looked up without a shuffle of the others
+BROADCAST_KEYS = 200_000
+
 
 def with_key(docs: DataFrame, version: str, company: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with their content key as column key; rows that are landed with it can skip this."""
@@ -32,9 +35,22 @@ class Memo:
 
     def unknown(self, docs: DataFrame) -> DataFrame:
         """One of the documents of each key without a recorded result, with the key as doc."""
-        fresh = self.ledger.unseen(docs.select("key").distinct())
-        some = docs.join(fresh, "key", "left_semi").drop("doc").dropDuplicates(["key"])
-        return some.withColumn("doc", F.col("key")).drop("key")
+        return self._texts(docs, self._chosen(docs.select("doc", "key")))
+
+    def _chosen(self, keys: DataFrame) -> DataFrame:
+        """key, doc and how often this pair is there: one document of each key without a recorded result."""
+        rows = self.ledger.unseen(keys.where("key IS NOT NULL")).groupBy("key", "doc").agg(F.count("*").alias("n"))
+        return checkpoint(rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("d")).select("key", "d.doc", "d.n"))
+
+    def _texts(self, docs: DataFrame, chosen: DataFrame) -> DataFrame:
+        """The chosen rows of ``docs`` with the key as doc; few are looked up by doc before keys are made."""
+        known = chosen.agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
+        pairs = chosen.select("doc", "key")
+        if known["rows"] <= BROADCAST_KEYS:
+            docs, pairs = docs.join(F.broadcast(chosen.select("doc").distinct()), "doc", "left_semi"), F.broadcast(pairs)
+        some = docs.join(pairs.hint("shuffle_hash") if known["rows"] > BROADCAST_KEYS else pairs, ["doc", "key"], "left_semi")
+        some = some.dropDuplicates(["key"]) if (known["most"] or 0) > 1 else some
+        return some.drop("doc").withColumnRenamed("key", "doc")
 
     def results(self, docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``docs`` (doc, key and what ``work`` reads) with their results, those without one left out.
@@ -42,9 +58,11 @@ class Memo:
         ``work`` gets unknown documents, one of each content, and returns at most one row a doc.
         Documents with a null key are errors of the caller: they have no content to go by, and no result.
         """
-        todo = checkpoint(self.unknown(docs.where("key IS NOT NULL")))
-        if not todo.isEmpty():
-            made = work(todo).withColumn("found", F.lit(True))
-            rows = todo.select("doc").join(made, "doc", "left").withColumnRenamed("doc", "key").withColumn("found", F.coalesce("found", F.lit(False)))
+        # The texts are read once for their keys, and those of unknown content once more for the work; they are not moved for the rest.
+        keys = checkpoint(docs.select("doc", "key")).where("key IS NOT NULL")  # a condition before would make them twice
+        chosen = self._chosen(keys)
+        if not chosen.isEmpty():
+            made = work(self._texts(docs, chosen)).withColumn("found", F.lit(True)).withColumnRenamed("doc", "key")
+            rows = chosen.select("key").join(made, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
             self.ledger.append(rows)
-        return docs.select("doc", "key").join(self.ledger.rows().where("found").drop("found"), "key")
+        return keys.join(self.ledger.rows().where("found").drop("found"), "key")

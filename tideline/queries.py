@@ -422,7 +422,7 @@ def taxonomy_expand(spark, d):
 def _words(df: DataFrame, *by: str) -> DataFrame:
     """The distinct words of each text, as column term."""
     found = F.array_distinct(F.regexp_extract_all(textnorm.normalize_text(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0)))
-    return df.select(*by, F.explode(found).alias("term"))
+    return df.select(*by, F.explode_outer(found).alias("term")).where("term IS NOT NULL")  # a plain explode makes the words once more to see if there are any
 
 
 def _variant_words(spark, d):
@@ -459,7 +459,7 @@ def match_memo(spark, d):
     variants, texts = _variant_words(spark, d), table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
     more = texts.union(table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id"), "text"))
     results = memo.Memo(spark, f"{incremental.shared_folder(spark)}/memo", "named long, core long, percent long, band string")
-    work = lambda docs: keywords.match_percent(keywords.coverage(_word_weights(docs), variants))
+    work = lambda docs: keywords.match_percent(keywords.covers(_word_weights(docs), variants))
     results.results(memo.with_key(texts, "1"), work)
     return results.results(memo.with_key(more, "1"), work).select("doc", "named", "core", "percent", "band")
 
