@@ -57,3 +57,21 @@ def test_memo(spark, tmp_path):
     assert run([(9, "a b", "X")], "2") == [(9, 2)] and len(worked) == 3
     assert run([]) == []
     assert kept.ledger.rows().count() == 4
+
+
+def test_memo_reads_texts_for_keys_once(spark, tmp_path):
+    """A run without unknown texts makes the key of each text once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def key(text):
+        made.add(1)
+        return text
+
+    docs = spark.range(100, numPartitions=2).select(F.col("id").alias("doc"), F.concat(F.lit("text "), F.col("id") % 40).alias("text"))
+    keyed = docs.withColumn("key", F.udf(key, "string")("text"))
+    kept = memo.Memo(spark, str(tmp_path / "memo"), "size int", buckets=4)
+    work = lambda rows: rows.select("doc", F.length("text").alias("size"))
+    assert sorted((r.doc, r.size) for r in kept.results(keyed, work).collect()) == [(i, len(f"text {i % 40}")) for i in range(100)]
+    first, made.value = made.value, 0
+    assert first <= 300  # once for all keys, then at most twice to look up unknown texts
+    assert kept.results(keyed, work).count() == 100 and made.value == 100
